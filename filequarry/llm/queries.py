@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filequarry.llm import neighbours, packing, split, survivor, tokens
+from filequarry.llm import garbled, language, neighbours, packing, split, survivor, tokens
 from filequarry.session import table
 
 CAPACITY = 2048
@@ -21,6 +21,14 @@ def p1_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return split.archive_pieces(table(spark, folder, "dbdoc"), table(spark, folder, "doc_vectors"), table(spark, folder, "pools"))
 
 
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    return language.mislabelled(table(spark, folder, "dbdoc"), language.fit(table(spark, folder, "documents")))
+
+
+def p2_segments(spark: SparkSession, folder: str) -> DataFrame:
+    return language.language_segments(table(spark, folder, "dbdoc"), ["id"], "inhalt", language.fit(table(spark, folder, "documents")))
+
+
 def _vectors(spark: SparkSession, folder: str, of) -> DataFrame:
     pictures = of(table(spark, folder, "dino_v2_vectors"), "pic_id", "vector").select(F.lit("dino_v2_vectors").alias("tbl"), "*")
     return pictures.unionByName(of(table(spark, folder, "doc_vectors"), "chunk_id", "vector").select(F.lit("doc_vectors").alias("tbl"), "*"))
@@ -51,7 +59,15 @@ def p9_containers(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(sizes, ["doc_id"], "tokens", CAPACITY)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_pieces, p3_found, p3_neighbours, p7_found, p7_survivors, p8_ids, p9_containers)}
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    return garbled.mended(table(spark, folder, "documents")).select("doc_id")
+
+
+def p10_restored(spark: SparkSession, folder: str) -> DataFrame:
+    return garbled.mended(table(spark, folder, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_segments, p3_found, p3_neighbours, p7_found, p7_survivors, p8_ids, p9_containers, p10_found, p10_restored)}
 
 SQL = {
     "p1_found": """
