@@ -236,8 +236,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f fo
 
 
 def _cosine(vector: str, query: str) -> str:
-    a, b = f"list_transform({vector}, x -> CAST(x AS DOUBLE))", f"list_transform({query}, x -> CAST(x AS DOUBLE))"
-    return f"CASE WHEN list_sum(list_transform({a}, x -> x * x)) = 0 OR list_sum(list_transform({b}, x -> x * x)) = 0 THEN 0.0 ELSE list_cosine_similarity({a}, {b}) END"
+    a, b = f"list_transform({vector}, lambda x: CAST(x AS DOUBLE))", f"list_transform({query}, lambda x: CAST(x AS DOUBLE))"
+    return f"CASE WHEN list_sum(list_transform({a}, lambda x: x * x)) = 0 OR list_sum(list_transform({b}, lambda x: x * x)) = 0 THEN 0.0 ELSE list_cosine_similarity({a}, {b}) END"
 
 
 def _in(suffixes: tuple[str, ...]) -> str:
@@ -252,8 +252,8 @@ _CREATED = r"TRY_CAST(regexp_replace(trim(" + _META.format("dcterms:created") +
 _LENGTH = f"coalesce(TRY_CAST({_META.format('Content-Length')} AS BIGINT), 0)"
 _TYPE = f"coalesce({_META.format('Content-Type')}, 'unk/unk')"
 _WORDS = r"regexp_extract_all(lower(left(fname || ' ' || coalesce(inhalt, ''), 800000)), '[\p{L}\p{N}]+')"
-_BITS = "list_transform(embedding[1:64], x -> CASE WHEN x > 0 THEN 1 ELSE 0 END)"
-_DISTANCE = "CAST(list_sum(list_transform(list_zip({0}, {1}), p -> abs(p[1] - p[2]))) AS INT)"
+_BITS = "list_transform(embedding[1:64], lambda x: CASE WHEN x > 0 THEN 1 ELSE 0 END)"
+_DISTANCE = "CAST(list_sum(list_transform(list_zip({0}, {1}), lambda p: abs(p[1] - p[2]))) AS INT)"
 
 SQL = {
     "cosine_topk": f"SELECT vec_id, round({_cosine('embedding', '(SELECT embedding FROM embeddings WHERE vec_id = 0)')}, 4) AS sim FROM embeddings ORDER BY {_cosine('embedding', '(SELECT embedding FROM embeddings WHERE vec_id = 0)')} DESC, vec_id LIMIT 10",
@@ -293,5 +293,5 @@ SQL = {
     "object_search": "SELECT id, CASE WHEN lower(fname) = 'html' OR split_part(lower(fname), '.', -1) = 'html' THEN 11 ELSE 6 END + CASE id % 3 WHEN 0 THEN 15 WHEN 1 THEN 5 ELSE -5 END AS score FROM filemeta WHERE lower(fname) = 'html' OR instr(split_part(lower(fname), '.', -1), 'html') > 0",
     "snippets": "WITH p AS (SELECT doc_id, text, greatest(instr(lower(text), 'straße') - 121, 0) AS start FROM documents WHERE text IS NOT NULL) SELECT doc_id, CASE WHEN start > 0 THEN '…' ELSE '' END || trim(substring(text, CAST(start AS INT) + 1, 240), ' ') || CASE WHEN length(text) > start + 240 THEN '…' ELSE '' END AS snippet FROM p",
     "xmp_ratings": "SELECT xmp['xmp:Rating'] AS rating, count(*) AS pictures FROM pictures WHERE xmp IS NOT NULL GROUP BY 1",
-    "phash_topk": "WITH b AS (SELECT id, list_transform(range(0, 64), i -> CASE WHEN (('x' || hex(phash))[2 + i // 4] IN ('8','9','A','B','C','D','E','F') AND i % 4 = 0) OR (('x' || hex(phash))[2 + i // 4] IN ('4','5','6','7','C','D','E','F') AND i % 4 = 1) OR (('x' || hex(phash))[2 + i // 4] IN ('2','3','6','7','A','B','E','F') AND i % 4 = 2) OR (('x' || hex(phash))[2 + i // 4] IN ('1','3','5','7','9','B','D','F') AND i % 4 = 3) THEN 1 ELSE 0 END) AS bits FROM pictures WHERE phash IS NOT NULL), q AS (SELECT bits AS q FROM b ORDER BY id LIMIT 1) SELECT id, " + _DISTANCE.format("bits", "q") + " AS distance FROM b, q ORDER BY distance, id LIMIT 10",
+    "phash_topk": "WITH b AS (SELECT id, list_transform(range(0, 64), lambda i: CASE WHEN (('x' || hex(phash))[2 + i // 4] IN ('8','9','A','B','C','D','E','F') AND i % 4 = 0) OR (('x' || hex(phash))[2 + i // 4] IN ('4','5','6','7','C','D','E','F') AND i % 4 = 1) OR (('x' || hex(phash))[2 + i // 4] IN ('2','3','6','7','A','B','E','F') AND i % 4 = 2) OR (('x' || hex(phash))[2 + i // 4] IN ('1','3','5','7','9','B','D','F') AND i % 4 = 3) THEN 1 ELSE 0 END) AS bits FROM pictures WHERE phash IS NOT NULL), q AS (SELECT bits AS q FROM b ORDER BY id LIMIT 1) SELECT id, " + _DISTANCE.format("bits", "q") + " AS distance FROM b, q ORDER BY distance, id LIMIT 10",
 }
