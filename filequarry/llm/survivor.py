@@ -96,7 +96,8 @@ def best_members(records: DataFrame, pools: DataFrame, latest: str = "2026-01-01
     most filled entries, then the latest fdate. Ties go to the smallest id. An id given twice is one record, its fullest row.
     """
     trust = pools.select(F.col("pool").alias("_pool"), "trust").where("_pool is not null").dropDuplicates(["_pool"])
-    facts = records.where("id is not null").join(trust, F.col("pool") == F.col("_pool"), "left").select("id", "trust", "fdate", filled_entries().alias("filled"))
+    plain = records.where("id is not null").select("id", "pool", "fdate", "meta_data")
+    facts = plain.join(trust, F.col("pool") == F.col("_pool"), "left").select("id", "trust", "fdate", filled_entries().alias("filled"))
     ranked = checkpointed(facts.join(same_file_groups(records).distinct(), "id"))
     groups = ranked.groupBy("group_id").agg(F.min("id").alias("_a"), F.max("id").alias("_b")).where("_a < _b").select("group_id")
     orders = {
