@@ -75,4 +75,38 @@ SQL = {
         UNION ALL
         SELECT 'doc_vectors', v.chunk_id FROM doc_vectors v JOIN dbdoc d ON v.doc_id = d.id JOIN pools p USING (pool) WHERE length(v.content) > p.max_chars
     """,
+    "p3_found": """
+        WITH v AS (
+            SELECT 'dino_v2_vectors' AS tbl, pic_id AS id, list_transform(vector, lambda x: CAST(x AS DOUBLE)) AS v FROM dino_v2_vectors
+            UNION ALL SELECT 'doc_vectors', chunk_id, list_transform(vector, lambda x: CAST(x AS DOUBLE)) FROM doc_vectors
+        ), solid AS (
+            SELECT * FROM v WHERE list_sum(list_transform(v, lambda x: x * x)) > 0
+        ), pairs AS (
+            SELECT a.tbl, a.id AS q, b.id AS o, round(list_cosine_similarity(a.v, b.v), 9) AS s FROM solid a JOIN solid b ON a.tbl = b.tbl AND a.id <> b.id
+        ), best AS (
+            SELECT * FROM pairs QUALIFY row_number() OVER (PARTITION BY tbl, q ORDER BY s DESC, o) <= 5
+        )
+        SELECT a.tbl, a.q AS id_a, a.o AS id_b FROM best a JOIN best b ON a.tbl = b.tbl AND a.q = b.o AND a.o = b.q WHERE a.q < a.o AND a.s >= 0.9
+    """,
+    "p7_found": r"""
+        WITH RECURSIVE keys AS (
+            SELECT id, 'h' || hex(sha256) AS k FROM filemeta WHERE sha256 IS NOT NULL AND fsize > 0
+            UNION ALL
+            SELECT id, 'p' || pool || '|' || array_to_string(list_filter(string_split(replace(nfc_normalize(lower(regexp_replace(path, '^[\s\x{A0}]+|[\s\x{A0}]+$', '', 'g'))), '\', '/'), '/'), lambda s: s NOT IN ('', '.')), '/') FROM filemeta WHERE path IS NOT NULL
+        ), links AS (
+            SELECT DISTINCT a.id AS x, b.id AS y FROM keys a JOIN keys b USING (k)
+        ), reach(id, other) AS (
+            SELECT id, id FROM filemeta UNION SELECT r.id, l.y FROM reach r JOIN links l ON r.other = l.x
+        ), grouped AS (
+            SELECT id, min(other) AS group_id FROM reach GROUP BY id HAVING count(*) > 1
+        ), facts AS (
+            SELECT g.group_id, f.id, p.trust, f.fdate, coalesce(len(list_filter(json_keys(f.meta_data), lambda k: NOT regexp_matches(CAST(json_extract(f.meta_data, '$."' || k || '"') AS VARCHAR), '^(null|\[\]|\{\}|"\s*")$'))), 0) AS filled
+            FROM grouped g JOIN filemeta f USING (id) LEFT JOIN pools p USING (pool)
+        )
+        SELECT group_id, 'path' AS field, id FROM facts QUALIFY row_number() OVER (PARTITION BY group_id ORDER BY trust DESC NULLS LAST, id) = 1
+        UNION ALL
+        SELECT group_id, 'fdate', id FROM facts WHERE fdate < TIMESTAMP '2026-01-01' QUALIFY row_number() OVER (PARTITION BY group_id ORDER BY fdate DESC, id) = 1
+        UNION ALL
+        SELECT group_id, 'meta_data', id FROM facts QUALIFY row_number() OVER (PARTITION BY group_id ORDER BY filled DESC, fdate DESC NULLS LAST, id) = 1
+    """,
 }
