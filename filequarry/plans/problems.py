@@ -47,4 +47,41 @@ SQL = {
         SELECT n.rec_id FROM newest n LEFT JOIN held h USING (device_id, path)
         WHERE NOT n.processed AND (h.rec_id IS NULL OR n.sha256 IS NULL OR h.sha256 IS NULL OR n.sha256 <> h.sha256)
     """,
+    "p5_found": """
+        WITH rec AS (
+            SELECT u.device_id, u.run_no, r.path, r.meta_data FROM crawl_records r JOIN crawl_runs u USING (run_id) WHERE r.meta_data IS NOT NULL
+        ), keyed AS (
+            SELECT *, unnest(json_keys(meta_data)) AS k FROM rec
+        ), cells AS (
+            SELECT device_id, run_no, path, k, CAST(json_extract(meta_data, '$."' || k || '"') AS VARCHAR) AS v,
+                CASE json_type(meta_data, '$."' || k || '"') WHEN 'VARCHAR' THEN 'string' WHEN 'BIGINT' THEN 'integer' WHEN 'UBIGINT' THEN 'integer' WHEN 'HUGEINT' THEN 'integer'
+                    WHEN 'DOUBLE' THEN 'decimal' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'ARRAY' THEN 'array' WHEN 'OBJECT' THEN 'object' END AS t
+            FROM keyed
+        ), stats AS (
+            SELECT device_id, run_no, k, list_sort(list_distinct(list(t))) AS types FROM cells GROUP BY ALL
+        ), pairs AS (
+            SELECT DISTINCT a.device_id, a.run_no FROM crawl_runs a JOIN crawl_runs b ON a.device_id = b.device_id AND b.run_no = a.run_no - 1
+        ), compared AS (
+            SELECT device_id, run_no, k, o.types AS ot, n.types AS nt
+            FROM (SELECT device_id, run_no + 1 AS run_no, k, types FROM stats) o FULL JOIN stats n USING (device_id, run_no, k) JOIN pairs USING (device_id, run_no)
+        ), common AS (
+            SELECT DISTINCT a.device_id, a.run_no, a.path FROM rec a JOIN rec b ON a.device_id = b.device_id AND a.path = b.path AND b.run_no = a.run_no - 1
+        ), old AS (
+            SELECT DISTINCT device_id, run_no, path, k, v FROM (SELECT device_id, run_no + 1 AS run_no, path, k, v FROM cells WHERE t IS NOT NULL) c
+            JOIN common USING (device_id, run_no, path) JOIN (SELECT device_id, run_no, k FROM compared WHERE nt IS NULL) USING (device_id, run_no, k)
+        ), new AS (
+            SELECT DISTINCT device_id, run_no, path, k, v FROM (SELECT device_id, run_no, path, k, v FROM cells WHERE t IS NOT NULL) c
+            JOIN common USING (device_id, run_no, path) JOIN (SELECT device_id, run_no, k FROM compared WHERE ot IS NULL) USING (device_id, run_no, k)
+        ), met AS (
+            SELECT device_id, run_no, old.k AS o, new.k AS n, count(*) AS c FROM old JOIN new USING (device_id, run_no, path, v) GROUP BY ALL
+        ), renamed AS (
+            SELECT device_id, run_no, o, n FROM met
+            JOIN (SELECT device_id, run_no, k AS o, count(*) AS co FROM old GROUP BY ALL) USING (device_id, run_no, o)
+            JOIN (SELECT device_id, run_no, k AS n, count(*) AS cn FROM new GROUP BY ALL) USING (device_id, run_no, n) WHERE c = co AND c = cn
+        )
+        SELECT device_id, run_no, 'renamed' AS change, o AS old_key, n AS new_key FROM renamed
+        UNION ALL SELECT device_id, run_no, 'retyped', k, k FROM compared WHERE len(ot) > 0 AND len(nt) > 0 AND ot <> nt
+        UNION ALL SELECT device_id, run_no, 'removed', k, '' FROM compared c WHERE nt IS NULL AND NOT EXISTS (SELECT 1 FROM renamed r WHERE r.device_id = c.device_id AND r.run_no = c.run_no AND r.o = c.k)
+        UNION ALL SELECT device_id, run_no, 'added', '', k FROM compared c WHERE ot IS NULL AND NOT EXISTS (SELECT 1 FROM renamed r WHERE r.device_id = c.device_id AND r.run_no = c.run_no AND r.n = c.k)
+    """,
 }
