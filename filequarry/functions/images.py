@@ -38,6 +38,15 @@ def to_png(image: np.ndarray) -> bytes:
     return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(rows)) + chunk(b"IEND", b"")
 
 
+def to_jpeg(image: np.ndarray, quality: int = 90) -> bytes:
+    """An RGB image as JPEG; needs Pillow."""
+    from PIL import Image
+
+    out = io.BytesIO()
+    Image.fromarray(np.ascontiguousarray(image, np.uint8)).save(out, format="JPEG", quality=quality)
+    return out.getvalue()
+
+
 def from_png(data: bytes) -> np.ndarray:
     """An RGB array of a PNG of 8 bits a channel, not interlaced: grey, RGB, palette, with or without alpha (which is dropped)."""
     if not data.startswith(b"\x89PNG\r\n\x1a\n"):
@@ -135,3 +144,17 @@ def phash(image: np.ndarray, edge: int = HASH_EDGE, factor: int = HASH_FACTOR) -
     transform = 2 * np.cos(np.pi * np.outer(at, 2 * at + 1) / (2 * side))
     low = (transform @ small @ transform.T)[:edge, :edge]
     return np.packbits((low > np.median(low)).ravel()).tobytes()
+
+
+# Mean and deviation of the colours on which common image models were trained.
+_MEAN, _DEVIATION = np.array([0.485, 0.456, 0.406]), np.array([0.229, 0.224, 0.225])
+
+
+def pixel_values(batch: np.ndarray, edge: int = EDGE, shorter: int = 256) -> np.ndarray:
+    """Images (n x height x width x 3) as a model's input: shorter side brought to `shorter`, the centre edge x edge, normalised, channels first."""
+    height, width = batch.shape[1:3]
+    scale = shorter / min(height, width)
+    size = round(height * scale), round(width * scale)
+    top, left = (size[0] - edge) // 2, (size[1] - edge) // 2
+    cut = np.stack([resized(image, *size)[top : top + edge, left : left + edge] for image in batch]).astype(np.float32) / 255
+    return ((cut - _MEAN) / _DEVIATION).transpose(0, 3, 1, 2).astype(np.float32)
