@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,8 +24,23 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8) -> SparkSession
     )
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package's code to the session's Python workers, once; they need not have it installed. Spark's driver serves the file."""
+    context = spark.sparkContext
+    if getattr(context, "_filequarry_shipped", False):
+        return
+    source = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="filequarry-code-"), "filequarry.zip")
+    with zipfile.ZipFile(archive, "w") as z:
+        for file in sorted(source.rglob("*.py")):
+            z.write(file, Path(source.name, file.relative_to(source)))
+    context.addPyFile(str(archive))
+    context._filequarry_shipped = True
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """The Parquet table `name` of a data folder."""
+    """The Parquet table `name` of a data folder. Queries begin here, so the workers get the package's code."""
+    ship_package(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
