@@ -129,7 +129,7 @@ class Store:
         parts = schema.PARTITIONED.get(table)
         if parts:
             touched = now.join(changes.select(key), key, "left_semi").select(*parts).distinct()
-            now = now.join(F.broadcast(touched), parts, "left_semi")  # one row for each pool
+            now = now.join(touched, parts, "left_semi")
         changed = update_keyed(now, changes, key, columns)
         draft = f"{self.root}/_{table}-{uuid.uuid4().hex[:8]}"
         self._write(changed, table, draft)
