@@ -13,7 +13,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 TEXTS_A_LANGUAGE = 200  # labelled texts from which the classifier is fitted, for each language; all texts are classified
@@ -224,14 +224,14 @@ def segments(model: Centroids, text: str | None) -> list[tuple[int, int, str, fl
 def fit(labelled: DataFrame, text: str = "text", label: str = "lang") -> Centroids:
     """A classifier from at most TEXTS_A_LANGUAGE labelled texts of each language, drawn by hash among those with 200 characters or more."""
     rows = labelled.where(F.col(label).isin(*SPELLINGS) & (F.length(text) >= 200)).select(F.col(label).alias("_lang"), F.col(text).alias("_text"))
-    counts = {r["_lang"]: r["count"] for r in rows.groupBy("_lang").count().collect()}
-    shares = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1_000_000, int(2_000_000 * TEXTS_A_LANGUAGE / n)))]) if counts else None
+    # One pass: the rank's bound keeps TEXTS_A_LANGUAGE rows of a language in each task before anything is shuffled.
+    rank = F.row_number().over(Window.partitionBy("_lang").orderBy("_hash", "_text"))
+    drawn = rows.select("_lang", F.left("_text", F.lit(LETTERS_A_TEXT)).alias("_text"), F.xxhash64("_text").alias("_hash"))
     samples: dict[str, list[str]] = {}
-    if counts:
-        drawn = rows.where(F.pmod(F.xxhash64("_text"), F.lit(1_000_000)) < F.try_element_at(shares, F.col("_lang")))
-        for language in counts:  # as many rows as TEXTS_A_LANGUAGE, of LETTERS_A_TEXT characters
-            some = drawn.where(F.col("_lang") == language).select(F.left("_text", F.lit(LETTERS_A_TEXT)).alias("t")).limit(TEXTS_A_LANGUAGE)
-            samples[language] = sorted(r["t"] for r in some.collect())
+    for r in drawn.withColumn("_n", rank).where(F.col("_n") <= TEXTS_A_LANGUAGE).select("_lang", "_text").collect():
+        samples.setdefault(r["_lang"], []).append(r["_text"])
+    for texts in samples.values():
+        texts.sort()
     return Centroids(samples)
 
 
