@@ -2,7 +2,8 @@
 
 A vector is represented by the order of the pivots nearest to it and posted in the inverted files of the first of them. Within a
 file, vectors are ranked by the footrule distance of their permutations and the best are compared exactly. Pivots are rows drawn
-from the table, so that dense regions have many of them, and the files of a table of any size stay short.
+from the table, so that dense regions have many of them. Beyond ROWS_A_PIVOT * MOST_PIVOTS rows the files grow with the table, and so do
+the candidates; long files are compared block against block. The rule is the same at every size.
 """
 
 from __future__ import annotations
@@ -21,8 +22,7 @@ MOST_PIVOTS = 4096  # bounds what is fitted and sent to the executors, at 1,024
 SAMPLED = 4096  # rows from which the centre and the pivots are taken; every row is indexed
 PREFIX = 16  # pivots in a permutation
 FILES = 5  # inverted files in which a vector is posted, enough for neighbours of a similarity of 0.8 or more
-PAIRED = 4  # of a large table, the pivots whose pairs name the files
-CANDIDATES = 64  # vectors compared exactly with each vector in one file, besides ties
+CANDIDATES = 64  # vectors compared exactly with each vector in a file of ROWS_A_PIVOT * FILES, besides ties; more in longer ones
 FAR_FILES, FAR_CANDIDATES = 12, 160  # the same where far neighbours count as much as near ones
 BLOCK = 4096  # the most distinct vectors compared at once; longer files are compared block against block
 DIGITS = 9  # decimals to which similarities are told apart
@@ -108,21 +108,13 @@ def _permutations(units: np.ndarray, points: np.ndarray, width: int) -> np.ndarr
     return np.take_along_axis(order, np.argsort(-np.take_along_axis(near, order, axis=1), axis=1, kind="stable"), axis=1).astype(np.int16)
 
 
-def _blocks(sample: np.ndarray, points: np.ndarray, width: int, paired: bool, own: int, rows: int) -> dict[int, int]:
+def _blocks(sample: np.ndarray, points: np.ndarray, width: int, own: int, rows: int) -> dict[int, int]:
     """Into how many blocks each file is cut that, judged by the sample, will hold more than BLOCK rows."""
-    files, seen = np.unique(_keys(_permutations(sample, points, width), paired, own), return_counts=True)
+    files, seen = np.unique(_permutations(sample, points, width)[:, :own], return_counts=True)
     expected = seen * (rows / len(sample))
     return {int(f): min(1023, int(-(-n // BLOCK))) for f, n in zip(files, expected, strict=True) if n > 2 * BLOCK}
 
 
-def _keys(order: np.ndarray, paired: bool, files: int) -> np.ndarray:
-    """The inverted files of each permutation: its first pivots, or all pairs of them where the table is too large for files of one pivot."""
-    if not paired:
-        return order[:, :files].astype(np.int64)
-    first = np.sort(order[:, :PAIRED].astype(np.int64), axis=1)
-    return np.stack([first[:, i] * MOST_PIVOTS + first[:, j] + MOST_PIVOTS for i in range(first.shape[1]) for j in range(i + 1, first.shape[1])], axis=1)
-
-
 def _footrule(order: np.ndarray, mine: slice, pivots: int) -> np.ndarray:
     """Footrule distances between the permutations of rows `mine` and all rows; a pivot beyond the prefix stands just behind it."""
     n, width = order.shape
@@ -140,9 +132,13 @@ def _footrule(order: np.ndarray, mine: slice, pivots: int) -> np.ndarray:
     return distance + (width * (width + 1) // 2 - shared)
 
 
-def _best(rows: np.ndarray, order: np.ndarray, pivots: int, keep: int, floor: float, candidates: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each distinct vector the rows most similar to it, itself left out, and their similarities: the `keep` best with all ties."""
+def _best(rows: np.ndarray, order: np.ndarray, pivots: int, keep: int, floor: float, candidates: int, share: float) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each distinct vector the rows most similar to it, itself left out, and their similarities: the `keep` best with all ties.
+
+    At least `candidates` rows, and at least this share of all rows, are compared with each.
+    """
     n = len(rows)
+    candidates = max(candidates, int(np.ceil(share * n)))
     exact = rows.astype(np.float64)
     norms = np.linalg.norm(exact, axis=1)
     found = []
@@ -182,7 +178,8 @@ def nearest(df: DataFrame, key: str, vector: str, k: int = 5, floor: float = -1.
     the lowest ids of its copies, and only the k + 1 lowest ids of copies can be anyone's neighbours among them. A zero vector has
     similarity 0 to all and is indexed nowhere: with floor <= 0 its neighbours are the lowest other ids. Null vectors and null ids
     take no part. Vectors must have one length; those of another than their batch's most frequent are left out. floor is at most 1.
-    files and candidates set how much is compared: see FILES and FAR_FILES.
+    files and candidates set how much is compared: see FILES and FAR_FILES. candidates are those of a file of ROWS_A_PIVOT * files rows, and
+    grow in proportion in longer ones.
     """
     spark = df.sparkSession
     source = df.where(F.col(key).isNotNull() & F.col(vector).isNotNull()).select(F.col(key).cast("bigint").alias("id"), F.col(vector).cast("array<float>").alias("vector"))
@@ -217,9 +214,9 @@ def _indexed(source: DataFrame, k: int, floor: float, own: int, candidates: int)
     if model is None:
         return spark.createDataFrame([], empty)
     pivots, keep = len(model[1]), k + 1
-    paired = rows * own / pivots > BLOCK
+    share = candidates / (ROWS_A_PIVOT * own)
     width = min(PREFIX, pivots)
-    shared = spark.sparkContext.broadcast((*model[:2], _blocks(model[2], model[1], width, paired, own, rows)))
+    shared = spark.sparkContext.broadcast((*model[:2], _blocks(model[2], model[1], width, own, rows)))
 
     def posted(batches):
         centre, points, blocks = shared.value
@@ -239,7 +236,7 @@ def _indexed(source: DataFrame, k: int, floor: float, own: int, candidates: int)
             ends = np.append(heads[1:], len(by))
             matrix = matrix[by[heads]]
             order = _permutations(_units(matrix, centre), points, width)
-            files = _keys(order, paired, own)
+            files = order[:, :own]
             digest = [digests[by[h]].tobytes() for h in heads]
             at, to = [], []
             for row, its in enumerate(files.tolist()):
@@ -278,7 +275,7 @@ def _indexed(source: DataFrame, k: int, floor: float, own: int, candidates: int)
         order = np.stack([np.frombuffer(p, np.int16) for p in distinct.column("permutation").to_pylist()])
         matrix = np.stack([_unpacked(p) for p in distinct.column("packed").to_pylist()])
         out: tuple[list, list, list] = ([], [], [])
-        for at, (others, similar) in enumerate(_best(matrix, order, pivots, keep, floor, candidates)):
+        for at, (others, similar) in enumerate(_best(matrix, order, pivots, keep, floor, candidates, share)):
             near = sorted((-s, i) for o, s in zip(others.tolist(), similar.tolist(), strict=True) for i in members[o])
             for me in members[at]:
                 copies = [(-1.0, i) for i in members[at] if i != me]

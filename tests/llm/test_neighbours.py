@@ -63,6 +63,17 @@ def test_long_files_are_compared_in_blocks(spark, monkeypatch):
     assert len(got & want) / len(want) >= 0.95
 
 
+def test_a_large_table_is_searched_by_the_same_rule(spark, monkeypatch):
+    """Few pivots stand for many rows a pivot: far neighbours are found all the same."""
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(np.float32(x)) for x in rng.normal(size=24)]) for i in range(1500)]
+    want = brute(rows, 5)
+    monkeypatch.setattr(neighbours, "MOST_PIVOTS", 24)
+    monkeypatch.setattr(neighbours, "BLOCK", 300)
+    got = {(r["id"], r["other"]) for r in neighbours.nearest(frame(spark, rows), "id", "vector").collect()}
+    assert len(got & want) / len(want) >= 0.95
+
+
 def test_edges(spark):
     assert neighbours.nearest(frame(spark, []), "id", "vector").count() == 0
     zeros = [(1, [0.0, 0.0]), (2, [0.0, 0.0]), (3, [1.0, 0.0]), (4, None), (None, [1.0, 1.0])]
