@@ -64,12 +64,13 @@ def _unpacked(data: bytes) -> np.ndarray:
     return (((folded >> 1) ^ -(folded & 1)) / 2.0 ** (kind % 64)).astype(np.float32)
 
 
-def _matrix(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Vectors of the most frequent length as rows, and which rows of the column they are; null or otherwise long ones are left out."""
+def _matrix(column: pa.Array, width: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors of length width, or of the most frequent one above 0, as rows, and which rows of the column they are; null or otherwise long ones are left out."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     lengths = np.asarray(pc.fill_null(pc.list_value_length(column), 0))
-    width = int(np.bincount(lengths).argmax()) if len(lengths) else 0
+    if width is None:
+        width = int(np.bincount(lengths[lengths > 0]).argmax()) if (lengths > 0).any() else 0
     good = np.flatnonzero((lengths == width) & (width > 0))
     flat = np.asarray(pc.fill_null(column.take(pa.array(good)).flatten().cast(pa.float32()), 0.0))
     return np.nan_to_num(flat.reshape(len(good), width), posinf=0, neginf=0), good
@@ -177,7 +178,7 @@ def nearest(df: DataFrame, key: str, vector: str, k: int = 5, floor: float = -1.
     On equal similarity (to 9 decimals) the lower id comes first. Equal vectors are compared once: a row's first neighbours are then
     the lowest ids of its copies, and only the k + 1 lowest ids of copies can be anyone's neighbours among them. A zero vector has
     similarity 0 to all and is indexed nowhere: with floor <= 0 its neighbours are the lowest other ids. Null vectors and null ids
-    take no part. Vectors must have one length; those of another than their batch's most frequent are left out. floor is at most 1.
+    take no part. Vectors must have one length; those of another than the sample's most frequent are left out. floor is at most 1.
     files and candidates set how much is compared: see FILES and FAR_FILES. candidates are those of a file of ROWS_A_PIVOT * files rows, and
     grow in proportion in longer ones.
     """
@@ -221,8 +222,8 @@ def _indexed(source: DataFrame, k: int, floor: float, own: int, candidates: int)
     def posted(batches):
         centre, points, blocks = shared.value
         for batch in batches:
-            matrix, good = _matrix(batch.column("vector"))
-            if not len(good) or matrix.shape[1] != len(centre):
+            matrix, good = _matrix(batch.column("vector"), len(centre))
+            if not len(good):
                 continue
             ids = np.asarray(batch.column("id"))[good]
             solid = np.abs(matrix).sum(1) > 0

@@ -74,6 +74,14 @@ def test_a_large_table_is_searched_by_the_same_rule(spark, monkeypatch):
     assert len(got & want) / len(want) >= 0.95
 
 
+def test_odd_lengths_and_a_single_vector(spark):
+    odd = [(i, [1.0, 2.0, 3.0] if i % 3 == 0 else []) for i in range(9)]
+    got = {(r["id"], r["other"]) for r in neighbours.nearest(frame(spark, odd).coalesce(1), "id", "vector", 2, 0.9).collect()}
+    assert got == {(0, 3), (0, 6), (3, 0), (3, 6), (6, 0), (6, 3)}
+    single = frame(spark, [(i, [1.0, 2.0, 3.0]) for i in range(900)])
+    assert neighbours.nearest(single, "id", "vector", 2, 0.9).count() == 1800
+
+
 def test_edges(spark):
     assert neighbours.nearest(frame(spark, []), "id", "vector").count() == 0
     zeros = [(1, [0.0, 0.0]), (2, [0.0, 0.0]), (3, [1.0, 0.0]), (4, None), (None, [1.0, 1.0])]
