@@ -113,8 +113,9 @@ def fragments(word: str) -> list[str]:
 class Classifier:
     """Multinomial naive Bayes over hashed byte bigrams: which chain garbled a word, or none."""
 
-    def __init__(self, sound: dict[str, int]):
-        self.sound = {w: n for w, n in sound.items() if n >= 3}
+    def __init__(self, sound: dict[str, int], seen: dict[str, int] | None = None):
+        """sound: fragments and their weights in the sample; seen: in how many of all texts each is, the same where it is left out."""
+        self.sound = {w: (seen or sound).get(w, n) for w, n in sound.items() if n >= 3}
         words = sorted(sound)
         weight = np.array([float(sound[w]) for w in words])
         totals, self.chains = [], []
@@ -138,7 +139,7 @@ class Classifier:
         self.prior = np.array([math.log(1 - PRIOR) if c is None else math.log(PRIOR / others) for c in self.chains], dtype=np.float32)
 
     def known(self, word: str) -> int:
-        """In how many texts the least frequent fragment of a word is seen; plain ASCII is seen everywhere."""
+        """In how many distinct texts the least frequent fragment of a word is seen; plain ASCII is seen everywhere."""
         return min((self.sound.get(f, 0) for f in fragments(word)), default=1 << 40)
 
     def likelihoods(self, word: str) -> np.ndarray:
@@ -175,23 +176,42 @@ def _readable(text: str) -> bool:
     return not any(0x7F <= ord(c) <= 0x9F or ord(c) < 9 or 0xE000 <= ord(c) <= 0xF8FF for c in text)
 
 
+def _parts(texts: DataFrame, text: str) -> DataFrame:
+    """text_hash and w: the fragments of each text's words, which may be repeated."""
+    cut = F.col("w")
+    for pattern, kept in _CUTS:
+        cut = F.regexp_replace(cut, pattern.replace(r"\Z", r"\z"), kept.replace("\\", "$"))
+    words = texts.select(F.xxhash64(text).alias("text_hash"), F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(_SPREAD), F.lit(0)))).alias("w")).where(F.length("w") <= 200)
+    return words.select("text_hash", F.explode(F.split(cut, " ")).alias("w")).where(F.col("w").rlike(r"[^\x00-\x7f]"))
+
+
 def sampled_words(documents: DataFrame, text: str = "text") -> dict[str, int]:
-    """The most frequent fragments of words with other than ASCII characters, and in how many texts, from about SAMPLED_TEXTS texts at most, drawn by hash."""
+    """The most frequent fragments of words with other than ASCII characters, and in how many distinct texts, from about SAMPLED_TEXTS distinct texts at most, drawn by hash."""
     rows = documents.where(F.col(text).isNotNull())
-    total = rows.count()
+    total = rows.agg(F.approx_count_distinct(F.xxhash64(text))).first()[0]
     share = min(1.0, SAMPLED_TEXTS / max(1, total))
     drawn = rows if share == 1 else rows.where(F.pmod(F.xxhash64(text), F.lit(1_000_000)) < int(share * 1_000_000))
-    cut = F.col("w")
-    for pattern, kept in _CUTS:
-        cut = F.regexp_replace(cut, pattern.replace(r"\Z", r"\z"), kept.replace("\\", "$"))
-    words = drawn.select(F.monotonically_increasing_id().alias("_row"), F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(_SPREAD), F.lit(0)))).alias("w")).where(F.length("w") <= 200)
-    parts = words.select("_row", F.explode(F.split(cut, " ")).alias("w")).where(F.col("w").rlike(r"[^\x00-\x7f]")).distinct()
-    counted = parts.groupBy("w").count().orderBy(F.desc("count"), "w").limit(WORDS).collect()  # WORDS fragments at most
+    counted = _parts(drawn, text).distinct().groupBy("w").count().orderBy(F.desc("count"), "w").limit(WORDS).collect()  # WORDS fragments at most
     return {r["w"]: r["count"] for r in counted}
 
 
-def train(parts: dict[str, int], rounds: int = 2) -> Classifier:
-    """A classifier from fragments of which a small part is garbled: what can be inverted to a far more frequent one is left out, then what it finds itself."""
+def seen_words(documents: DataFrame, parts: dict[str, int], text: str = "text") -> dict[str, int]:
+    """In how many distinct texts of all documents each of these fragments is."""
+    if not parts:
+        return {}
+    rows = documents.where(F.col(text).rlike(r"[^\x00-\x7f]"))
+    names = sorted(parts)
+    wanted = documents.sparkSession.createDataFrame(list(enumerate(names)), "n int, w string")
+    pairs = _parts(rows, text).join(F.broadcast(wanted), "w").select("n", "text_hash").distinct()
+    return {names[r["n"]]: r["count"] for r in pairs.groupBy("n").count().collect()}  # WORDS at most
+
+
+def train(parts: dict[str, int], rounds: int = 2, seen: dict[str, int] | None = None) -> Classifier:
+    """A classifier from fragments of which a small part is garbled: what can be inverted to a far more frequent one is left out, then what it finds itself.
+
+    parts are the fragments of a sample, by which the classes are weighted; how frequent one is, is told by seen, which counts all texts.
+    """
+    seen = seen or parts
     sound: dict[str, int] = {}
     every = chains()
     for part, n in parts.items():
@@ -199,13 +219,13 @@ def train(parts: dict[str, int], rounds: int = 2) -> Classifier:
             continue
         # A sequence of UTF-8 is one by accident so rarely that fragments holding nothing else beyond ASCII are never sound.
         multi = any(c[0] == "utf-8" and (p := restore(part, c)) is not None and _readable(p) for c in every)
-        if not multi and not (len(part) > 2 and any(parts.get(restore(part, c) or "", 0) > 2 * n for c in every if c[0] != "utf-8")):
+        if not multi and not (len(part) > 2 and any(seen.get(restore(part, c) or "", 0) > 2 * seen.get(part, n) for c in every if c[0] != "utf-8")):
             sound[part] = n
-    model = Classifier(sound)
+    model = Classifier(sound, seen)
     for _ in range(rounds - 1):
         verdicts = {w: model.verdict(w) for w in sound}
-        sound = {w: n for w, n in sound.items() if (v := verdicts[w]) is None or model.known(v[1]) < 2 * n}
-        model = Classifier(sound)
+        sound = {w: n for w, n in sound.items() if (v := verdicts[w]) is None or model.known(v[1]) < 2 * seen.get(w, n)}
+        model = Classifier(sound, seen)
     return model
 
 
@@ -249,7 +269,8 @@ def mended(documents: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     Null, empty and plain ASCII texts are sound. A text is looked at word by word, whole, in its row; the classifier, whose size is
     bounded by WORDS and the number of chains, is sent to every executor.
     """
-    model = documents.sparkSession.sparkContext.broadcast(train(sampled_words(documents, text)))
+    parts = sampled_words(documents, text)
+    model = documents.sparkSession.sparkContext.broadcast(train(parts, seen=seen_words(documents, parts, text)))
 
     def checked(batches):
         classifier, known = model.value, {}

@@ -56,3 +56,15 @@ def test_table(spark):
     assert sorted(r["doc_id"] for r in got) == [100, 100, 104]
     assert {r["restored"] for r in got if r["doc_id"] == 100} == {"für die wäre größer"}
     assert garbled.mended(df.limit(0)).count() == 0 and garbled.mended(df.where("doc_id = 102")).count() == 0
+
+
+def test_a_hot_group_of_garbled_copies(spark):
+    """Copies count once: a text garbled by a one-byte chain stays garbled however often it is there."""
+    rows = [(i, " ".join(random.Random(i).sample(WORDS, 30))) for i in range(80)]
+    spoilt = garbled.garble("größer", ("cp850", "cp1252"))
+    rows += [(1000 + i, f"das ist {spoilt}") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    parts = garbled.sampled_words(df)
+    assert parts[garbled.fragments(spoilt)[0]] == 1 and garbled.seen_words(df, parts) == parts
+    got = {r["doc_id"]: r["restored"] for r in garbled.mended(df).collect()}
+    assert {got.get(1000 + i) for i in range(300)} == {"das ist größer"}
