@@ -154,7 +154,7 @@ class Classifier:
         if not word:
             return None
         likely = self.likelihoods(word)
-        for c in np.argsort(-likely)[:12]:
+        for c in np.argsort(-likely):
             if c == 0 or likely[c] - likely[0] < MARGIN:
                 break
             plain = restore(word, self.chains[c])

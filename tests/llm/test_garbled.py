@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from filequarry.llm import garbled
@@ -68,3 +69,15 @@ def test_a_hot_group_of_garbled_copies(spark):
     assert parts[garbled.fragments(spoilt)[0]] == 1 and garbled.seen_words(df, parts) == parts
     got = {r["doc_id"]: r["restored"] for r in garbled.mended(df).collect()}
     assert {got.get(1000 + i) for i in range(300)} == {"das ist größer"}
+
+
+def test_every_chain_likely_enough_is_tried(model, monkeypatch):
+    """More than 12 chains that can't be inverted come first."""
+    spoilt = garbled.garble("größer", ("cp850", "cp1252"))
+    right = model.chains.index(("cp850", "cp1252"))
+    barred = [i for i, c in enumerate(model.chains) if c is not None and garbled.restore(spoilt, c) is None]
+    assert len(barred) > 12
+    likely = np.full(len(model.chains), -100.0)
+    likely[[0, right, *barred]] = [-50, -20, *[-10] * len(barred)]
+    monkeypatch.setattr(model, "likelihoods", lambda word: likely if word == spoilt else np.zeros(len(model.chains)))
+    assert model.verdict(spoilt)[1] == "größer"
