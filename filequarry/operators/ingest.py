@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 from filequarry.config import Config
 from filequarry.functions import records
 from filequarry.sources import extract
-from filequarry.sources.crawl import crawl
+from filequarry.sources.crawl import MOST, crawl
 from filequarry.sources.xmp import xmp
 
 
-def _read(spark: SparkSession, root: str, pattern: str, hidden: bool) -> DataFrame:
-    files = crawl(spark, root, pattern, hidden=hidden)
+def _read(spark: SparkSession, root: str, pattern: str, hidden: bool, maxbytes: int) -> DataFrame:
+    files = crawl(spark, root, pattern, hidden=hidden, maxbytes=maxbytes, whole=extract.EXTRACTORS)
     return extract.extracted(files.withColumn("suffix", records.suffix(F.col("path"))))
 
 
@@ -26,15 +26,18 @@ def _common(files: DataFrame, root: str, pool: str) -> list:
     ]
 
 
-def filemeta_records(spark: SparkSession, root: str, pool: str, pattern: str = "*", hidden: bool = True) -> DataFrame:
-    """A metadata record for each file below root: the columns of filemeta without id, and error. A file that can't be read stays, with error set."""
-    files = _read(spark, root, pattern, hidden)
+def filemeta_records(spark: SparkSession, root: str, pool: str, pattern: str = "*", hidden: bool = True, maxbytes: int = MOST) -> DataFrame:
+    """A metadata record for each file below root: the columns of filemeta without id, and error. A file that can't be read stays, with error set.
+
+    Files that have an extractor are read whole; maxbytes holds for others.
+    """
+    files = _read(spark, root, pattern, hidden, maxbytes)
     return files.select(*_common(files, root, pool), records.sort_date_of_file(F.col("meta_data"), F.col("modificationTime")).alias("sort_date"), "sha256", "error")
 
 
-def dbdoc_records(spark: SparkSession, root: str, pool: str, pattern: str = "*", hidden: bool = True, config: Config | None = None) -> DataFrame:
+def dbdoc_records(spark: SparkSession, root: str, pool: str, pattern: str = "*", hidden: bool = True, config: Config | None = None, maxbytes: int = MOST) -> DataFrame:
     """A document record for each document file below root: the columns of dbdoc without id and lexemes, and error. inhalt is never null."""
-    files = _read(spark, root, pattern, hidden)
+    files = _read(spark, root, pattern, hidden, maxbytes)
     files = files.where(records.ftype(F.col("suffix"), config) == "doc")
     return files.select(*_common(files, root, pool), records.sort_date_of_document(F.col("meta_data")).alias("sort_date"), F.lit(None).cast("binary").alias("sha256"), F.coalesce("page_content", F.lit("")).alias("inhalt"), "error")
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import os
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +13,11 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 SCHEMA = "path string, modificationTime timestamp_ntz, length bigint, sha256 binary, content binary, error string"
 
 
+MOST = 1 << 26  # bytes of a file that are kept, where nothing else is said
+LARGEST = 2_000_000_000  # bytes that a binary value of Spark can hold
+TOO_LARGE = "too large"
+
+
 class _Folder(InputPartition):
     def __init__(self, files: list[str]):
         self.files = files
@@ -22,7 +27,8 @@ class TreeSource(DataSource):
     """All files below a folder that every executor sees, hidden ones and those that begin with _ among them.
 
     Options: path; pattern (a glob for names); files (how many make a partition, 256); content (true: bytes of files up to maxbytes,
-    64 MB; false: none). Hashes are taken in blocks, so files of any size can be read. An unreadable file is a row with error set.
+    64 MB; false: none); whole (suffixes, separated by commas, of files whose bytes are kept up to LARGEST). Hashes are taken in blocks,
+    so files of any size can be read. An unreadable file is a row with error set, one whose bytes are not kept has error 'too large'.
     """
 
     @classmethod
@@ -39,20 +45,34 @@ class TreeSource(DataSource):
 class _TreeReader(DataSourceReader):
     def __init__(self, options: dict):
         self.root, self.pattern = options["path"], options.get("pattern", "*")
-        self.each, self.content, self.most = int(options.get("files", 256)), options.get("content", "true").lower() == "true", int(options.get("maxbytes", 1 << 26))
+        self.each, self.content, self.most = int(options.get("files", 256)), options.get("content", "true").lower() == "true", int(options.get("maxbytes", MOST))
+        self.whole = tuple(s for s in options.get("whole", "").lower().split(",") if s)
+
+    def _kept(self, file: str, size: int) -> bool:
+        return self.content and size <= (LARGEST if self.whole and file.lower().endswith(self.whole) else min(self.most, LARGEST))
 
     def partitions(self) -> list[InputPartition]:
         from fnmatch import fnmatch
 
-        parts, now = [], []
+        parts, now, held = [], [], 0
         for folder, below, names in os.walk(self.root):
             below.sort()
             for name in sorted(names):
                 if fnmatch(name, self.pattern):
-                    now.append(os.path.join(folder, name))
-                    if len(now) == self.each:
+                    file = os.path.join(folder, name)
+                    try:
+                        size = os.stat(file).st_size
+                    except OSError:
+                        size = 0
+                    more = size if self._kept(file, size) else 0
+                    if len(now) == self.each or (now and more > MOST):  # a large file begins a partition
+                        parts.append(_Folder(now))
+                        now, held = [], 0
+                    now.append(file)
+                    held += more
+                    if held > MOST:
                         parts.append(_Folder(now))
-                        now = []
+                        now, held = [], 0
         return [*parts, *([_Folder(now)] if now or not parts else [])]
 
     def read(self, partition: _Folder) -> Iterator[tuple]:
@@ -62,24 +82,24 @@ class _TreeReader(DataSourceReader):
             try:
                 stat = os.stat(file)
                 digest, kept = hashlib.sha256(), []
-                keep = self.content and stat.st_size <= self.most
+                keep = self._kept(file, stat.st_size)
                 with open(file, "rb") as f:
                     while block := f.read(1 << 20):
                         digest.update(block)
                         if keep:
                             kept.append(block)
-                yield file, datetime.fromtimestamp(stat.st_mtime), stat.st_size, digest.digest(), b"".join(kept) if keep else None, None
+                yield file, datetime.fromtimestamp(stat.st_mtime), stat.st_size, digest.digest(), b"".join(kept) if keep else None, TOO_LARGE if self.content and not keep else None
             except OSError as e:
                 yield file, None, None, None, None, f"{type(e).__name__}: {e.strerror}"
 
 
-def crawl(spark: SparkSession, root: str, pattern: str = "*", content: bool = True, hidden: bool = True) -> DataFrame:
+def crawl(spark: SparkSession, root: str, pattern: str = "*", content: bool = True, hidden: bool = True, maxbytes: int = MOST, whole: Iterable[str] = ()) -> DataFrame:
     """The files below root whose names fit a glob. hidden=False uses Spark's own reader, which reads any file system but leaves out
-    names that begin with . or _, and prunes content and filters on length in the scan.
+    names that begin with . or _, and prunes content and filters on length in the scan; maxbytes and whole are TreeSource's, it has no use for them.
     """
     if hidden:
         spark.dataSource.register(TreeSource)
-        return spark.read.format("filetree").option("path", root).option("pattern", pattern).option("content", str(content).lower()).load()
+        return spark.read.format("filetree").option("path", root).option("pattern", pattern).option("content", str(content).lower()).option("maxbytes", maxbytes).option("whole", ",".join(whole)).load()
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root)
     plain = files.select(F.regexp_replace("path", r"^file:/+", "/").alias("path"), F.col("modificationTime").cast("timestamp_ntz").alias("modificationTime"), "length", F.unhex(F.sha2("content", 256)).alias("sha256"), "content", F.lit(None).cast("string").alias("error"))
     return plain if content else plain.drop("sha256", "content")

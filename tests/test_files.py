@@ -65,6 +65,16 @@ def test_crawl_and_records(spark, tree):
     assert ingest.filemeta_records(spark, str(tree), "pool", "*.none").count() == 0
 
 
+def test_large_files(spark, tmp_path):
+    (tmp_path / "large.txt").write_bytes(b"x" * ((1 << 26) + 1))
+    (tmp_path / "b.bin").write_bytes(b"12345")
+    got = ingest.dbdoc_records(spark, str(tmp_path), "pool", "*.txt").select(F.length("inhalt").alias("n"), "clength", "error").first()
+    assert tuple(got) == ((1 << 26) + 1, (1 << 26) + 1, None)
+    small = {r["path"].rsplit("/", 1)[1]: r for r in crawl.crawl(spark, str(tmp_path), maxbytes=4).select("path", "content", "error").collect()}
+    assert small["b.bin"]["content"] is None and {r["error"] for r in small.values()} == {"too large"}
+    assert {r["path"]: r["error"] for r in ingest.filemeta_records(spark, str(tmp_path), "pool", maxbytes=4).select("path", "error").collect()} == {"large.txt": None, "b.bin": "too large"}
+
+
 def test_pictures(spark, tree):
     files = ingest.filemeta_records(spark, str(tree), "pool").withColumn("id", F.xxhash64("path"))
     pics = ingest.pictures_of(files)
