@@ -174,6 +174,11 @@ def sort_by_date(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "filemeta").orderBy(F.desc("sort_date"), "id").select("id", "sort_date").limit(100)
 
 
+def sort_by_date_all(spark: SparkSession, d: str) -> DataFrame:
+    """Every row; sort_by_date is its first 100."""
+    return table(spark, d, "filemeta").orderBy(F.desc("sort_date"), "id").select("id", "sort_date")
+
+
 def tsvector_tokens(spark: SparkSession, d: str) -> DataFrame:
     words = text.tokens(records.search_text(F.col("fname"), F.col("inhalt")))
     return table(spark, d, "dbdoc").select("id", words.alias("w")).select("id", F.size("w").cast("bigint").alias("words"), F.size(F.array_distinct("w")).cast("bigint").alias("lexemes"))
@@ -230,7 +235,7 @@ def xmp_ratings(spark: SparkSession, d: str) -> DataFrame:
 _ALL = (
     cosine_topk, cosine_topk_pictures, cosine_all, hamming_topk, phash_topk, filemeta_project, doc_record, ftype_classify, path_basename_suffix, relative_paths, sha256_hex, meta_default_first, md_keys, nul_scrub,
     json_round_trip, iso_dates, pool_filter, todo_no_thumb, todo_no_heic, has_thumb, has_phash, pics_from_meta, missing_pics_anti, error_minus_done, hash_lookup, insert_unique, update_keyed, vector_join_pic,
-    chunk_join_doc, dangling_references, sort_by_date, tsvector_tokens, fulltext_all_terms, fulltext_index, fulltext_german, german_stem, html_text, title_search, object_search, ranked_search, snippets, xmp_ratings,
+    chunk_join_doc, dangling_references, sort_by_date, sort_by_date_all, tsvector_tokens, fulltext_all_terms, fulltext_index, fulltext_german, german_stem, html_text, title_search, object_search, ranked_search, snippets, xmp_ratings,
 )
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 
@@ -286,6 +291,7 @@ SQL = {
     "chunk_join_doc": "SELECT chunk_id, doc_id, fname, length(content) AS n_chars FROM doc_vectors c JOIN dbdoc d ON c.doc_id = d.id",
     "dangling_references": "SELECT chunk_id, doc_id FROM doc_vectors c WHERE NOT EXISTS (SELECT 1 FROM dbdoc d WHERE d.id = c.doc_id)",
     "sort_by_date": "SELECT id, sort_date FROM filemeta ORDER BY sort_date DESC, id LIMIT 100",
+    "sort_by_date_all": "SELECT id, sort_date FROM filemeta ORDER BY sort_date DESC, id",
     "tsvector_tokens": f"SELECT id, len({_WORDS}) AS words, len(list_distinct({_WORDS})) AS lexemes FROM dbdoc",
     "fulltext_all_terms": f"SELECT id FROM dbdoc WHERE list_has_all({_WORDS}, ['der', 'und'])",
     "fulltext_index": f"SELECT id FROM dbdoc WHERE list_has_all({_WORDS}, ['der', 'und'])",

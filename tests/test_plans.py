@@ -58,6 +58,13 @@ def test_every_query_has_a_name_and_sql_only_for_queries():
     assert set(archive.QUERIES).isdisjoint(problems.QUERIES)
 
 
+def test_the_whole_table_is_sorted(spark, tmp_path):
+    days = spark.range(250).select("id", F.timestamp_seconds(F.pmod(F.col("id") * 7919, F.lit(83)) * 86400).alias("sort_date"))
+    days.write.parquet(f"{tmp_path}/filemeta.parquet")
+    got = [(r["sort_date"], r["id"]) for r in archive.sort_by_date_all(spark, str(tmp_path)).collect()]
+    assert len(got) == 250 and got == sorted(got, key=lambda r: (-r[0].timestamp(), r[1]))
+
+
 def test_staging(spark, tmp_path):
     df = spark.range(5)
     assert staged(df, str(tmp_path)).count() == 5 and staged(df).count() == 5
