@@ -1,8 +1,9 @@
-"""Command line: python -m filequarry ingest ROOT POOL STORE | search STORE QUERY."""
+"""Command line: python -m filequarry ingest ROOT POOL STORE | pictures ROOT STORE | search STORE QUERY."""
 
 from __future__ import annotations
 
 import argparse
+import importlib
 
 from pyspark.sql import SparkSession
 
@@ -17,26 +18,27 @@ def main(argv: list[str] | None = None) -> int:
     ingest.add_argument("pool")
     ingest.add_argument("store")
     ingest.add_argument("--pattern", default="*")
+    pictures = commands.add_parser("pictures", help="make picture records, thumbnails, hashes and vectors for a store's files")
+    pictures.add_argument("root")
+    pictures.add_argument("store")
+    pictures.add_argument("--model", help="module:function that returns make_predict; without it no vectors are made")
     search = commands.add_parser("search", help="documents of a store with all words of a query")
     search.add_argument("store")
     search.add_argument("query")
     given = parser.parse_args(argv)
 
-    from filequarry.functions.text import tsquery, with_lexemes
-    from filequarry.operators import ingest as ingesting
+    from filequarry.functions.text import tsquery
+    from filequarry.operators.pipeline import index_pictures, ingest_tree
     from filequarry.operators.store import Store
 
     spark = SparkSession.builder.appName("filequarry").getOrCreate()
     store, config = Store(spark, given.store), Config.from_env_file()
     if given.command == "ingest":
+        print(ingest_tree(store, given.root, given.pool, given.pattern, config))
+    elif given.command == "pictures":
+        module, _, function = (given.model or "").partition(":")
         store.create_all()
-        files = ingesting.filemeta_records(spark, given.root, given.pool, given.pattern)
-        good = files.where("error is null or error = 'unsupported'").drop("error")
-        store.insert_new("filemeta", store.assigned("filemeta", good))
-        documents = with_lexemes(ingesting.dbdoc_records(spark, given.root, given.pool, given.pattern, config=config).where("error is null").drop("error"))
-        store.insert_new("dbdoc", store.assigned("dbdoc", documents))
-        files = store.read("filemeta")
-        store.insert_new("pictures", ingesting.pictures_of(ingesting.missing_pictures(files, store.read("pictures"), config), config))
+        print(index_pictures(store, given.root, config, getattr(importlib.import_module(module), function)() if module else None))
     else:
         tsquery(store.read("dbdoc"), given.query).select("id", "pool", "path").show(50, truncate=False)
     return 0

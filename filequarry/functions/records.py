@@ -12,11 +12,23 @@ NO_TYPE = "unk/unk"
 
 
 def relative_path(file: Column, root: str, everywhere: bool = False) -> Column:
-    """file below root, without it. everywhere: root's text is taken out wherever it stands, as older records have it."""
+    """file below root, without it; a file elsewhere with .. for each folder to leave, if both are absolute, else as it is.
+
+    everywhere: root's text is taken out wherever it stands, as older records have it.
+    """
     if everywhere:
         return F.replace(file, F.lit(root), F.lit(""))
     root = root.rstrip("/") + "/"
-    return F.when(F.startswith(file, F.lit(root)), F.substring(file, F.lit(len(root) + 1), F.length(file))).otherwise(file)
+    below = F.substring(file, F.lit(len(root) + 1), F.length(file))
+    if not root.startswith("/"):
+        return F.when(F.startswith(file, F.lit(root)), below).otherwise(file)
+    folders = [f for f in root.split("/") if f not in ("", ".")]
+    steps = F.filter(F.split(file, "/"), lambda s: ~s.isin("", "."))
+    known = F.array(*map(F.lit, folders)).cast("array<string>")
+    same = F.zip_with(known, F.slice(steps, 1, max(1, len(folders))), lambda a, b: F.coalesce(a == b, F.lit(False)))
+    common = F.coalesce(F.nullif(F.array_position(F.slice(same, 1, len(folders)), False), F.lit(0)) - 1, F.lit(len(folders))).cast("int")
+    elsewhere = F.array_join(F.concat(F.array_repeat(F.lit(".."), F.lit(len(folders)) - common), F.slice(steps, common + 1, F.size(steps) + 1)), "/")
+    return F.when(F.startswith(file, F.lit(root)), below).when(F.startswith(file, F.lit("/")), elsewhere).otherwise(file)
 
 
 def basename(path: Column) -> Column:

@@ -27,9 +27,11 @@ def stop_words(language: str = "german") -> tuple[str, ...]:
     return tuple(StopWordsRemover.loadDefaultStopWords(language))
 
 
+_stem = lru_cache(1 << 17)(stem)  # a worker keeps this many
+
+
 def _stems(words: pd.Series) -> pd.Series:
-    known: dict[str, str] = {}
-    return words.map(lambda ws: None if ws is None else [known[w] if w in known else known.setdefault(w, stem(w)) for w in ws])
+    return words.map(lambda ws: None if ws is None else [_stem(w) for w in ws])
 
 
 def lexemes(words: Column, language: str | None = "german") -> Column:
@@ -66,10 +68,23 @@ def matches(lexeme_column: Column, wanted: list[str]) -> Column:
     return F.forall(F.array(*map(F.lit, wanted)), lambda w: F.array_contains(lexeme_column, w))
 
 
+def with_stored_lexemes(documents: DataFrame, language: str | None = "german") -> DataFrame:
+    """documents with lexemes: those stored, and worked out where they are null or there is no such column.
+
+    Rows with stored lexemes form a branch of their own, which reads no text and stays in the JVM.
+    """
+    if "lexemes" not in documents.columns:
+        return with_lexemes(documents, language)
+    missing = with_lexemes(documents.where(F.col("lexemes").isNull()), language)
+    return documents.where(F.col("lexemes").isNotNull()).unionByName(missing)
+
+
 def tsquery(documents: DataFrame, query: str, language: str | None = "german") -> DataFrame:
-    """The documents (with lexemes stored, else computed) that contain all words of a query, unranked, without the wide columns."""
-    stored = "lexemes" in documents.columns
-    rows = documents if stored else with_lexemes(documents, language)
+    """The documents that contain all words of a query, unranked, without the wide columns.
+
+    Stored lexemes are taken to be of this language; where they are null they are worked out, so a null never means no hit.
+    """
+    rows = with_stored_lexemes(documents, language)
     found = rows.where(matches(F.col("lexemes"), query_lexemes(documents.sparkSession, query, language)))
     return found.drop("inhalt", "lexemes")
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from filequarry.functions import images
+from filequarry.sources import xmp
 
 #: Decoders by the first bytes of a file: bytes -> (RGB array, truncated). A library for other formats is registered here.
 DECODERS: dict[bytes, Callable[[bytes], tuple[np.ndarray, bool]]] = {b"\x89PNG": lambda data: (images.from_png(data), False)}
@@ -46,7 +47,7 @@ def decode(data: bytes, decoders: dict | None = None) -> tuple[np.ndarray, bool]
 
 
 def thumbnails(files: DataFrame, key: str = "id") -> DataFrame:
-    """key, thumbarray (npy, 224 x 224 x 3), phash, truncated, error for each row of key and content. A broken image is a row with error set.
+    """key, thumbarray (npy, 224 x 224 x 3), phash, truncated, xmp, error for each row of key and content. A broken image is a row with error set.
 
     Set spark.sql.execution.arrow.maxRecordsPerBatch low (16 or so) where images are large: a task holds one batch at a time.
     """
@@ -55,9 +56,11 @@ def thumbnails(files: DataFrame, key: str = "id") -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = [_thumbnail(data, decoders) for data in batch["content"]]
-            yield pd.DataFrame({key: batch[key], "thumbarray": [o[0] for o in out], "phash": [o[1] for o in out], "truncated": [o[2] for o in out], "error": [o[3] for o in out]})
+            columns = dict(zip(("thumbarray", "phash", "truncated", "error"), zip(*out, strict=True), strict=True)) if out else {}
+            yield pd.DataFrame({key: batch[key], **{n: list(c) for n, c in columns.items()}, "xmp": [xmp.flat(data) for data in batch["content"]]})
 
-    return files.select(key, "content").mapInPandas(run, f"`{key}` {files.schema[key].dataType.simpleString()}, thumbarray binary, phash binary, truncated boolean, error string")
+    kind = files.schema[key].dataType.simpleString()
+    return files.select(key, "content").mapInPandas(run, f"`{key}` {kind}, thumbarray binary, phash binary, truncated boolean, error string, xmp map<string,string>")
 
 
 def _thumbnail(data, decoders: dict) -> tuple:
@@ -130,15 +133,55 @@ def embeddings(pictures: DataFrame, make_predict: Callable, key: str = "id", bat
     return rows.mapInPandas(run, f"`{key}` {pictures.schema[key].dataType.simpleString()}, vector array<float>")
 
 
-def grid_model(cells: int = 8) -> Callable:
-    """A model without weights, for trying the pipeline: mean colours of a grid of cells, centred."""
+def grid_model(cells: int = 8, channels: int = 3) -> Callable:
+    """A model without weights, for trying the pipeline: mean colours of a grid of cells, centred; with 4 channels their mean as well."""
 
     def make():
         def predict(batch: np.ndarray) -> np.ndarray:
             n, h, w, c = batch.shape
-            means = batch.reshape(n, cells, h // cells, cells, w // cells, c).mean(axis=(2, 4)).reshape(n, -1) / 255.0
+            means = batch.reshape(n, cells, h // cells, cells, w // cells, c).mean(axis=(2, 4)) / 255.0
+            means = np.concatenate([means, means.mean(axis=3, keepdims=True)], axis=3)[..., :channels].reshape(n, -1)
             return means - means.mean(axis=1, keepdims=True)
 
         return predict
 
     return make
+
+
+def onnx_model(path: str, output: str = "pooler_output") -> Callable:
+    """A model in the ONNX format, from a file that every executor sees: it takes pixel values (n x 3 x 224 x 224) and gives a vector each.
+
+    output names the result that is taken; if the model has none of this name, its last one is, of a sequence the first entry.
+    """
+
+    def make():
+        import onnxruntime
+
+        session = onnxruntime.InferenceSession(path, providers=["CPUExecutionProvider"])
+        entrance, names = session.get_inputs()[0].name, [o.name for o in session.get_outputs()]
+
+        def predict(batch: np.ndarray) -> np.ndarray:
+            found = session.run([output if output in names else names[-1]], {entrance: images.pixel_values(batch)})[0]
+            return found[:, 0] if found.ndim == 3 else found
+
+        return predict
+
+    return make
+
+
+def transformers_model(folder: str, device: str = "cpu") -> Callable:
+    """A vision model of the transformers library, from a folder that every executor sees; its pooled output is the vector."""
+
+    def make():
+        import torch
+        from transformers import AutoModel
+
+        model = AutoModel.from_pretrained(folder).to(device).eval()
+
+        def predict(batch: np.ndarray) -> np.ndarray:
+            with torch.inference_mode():
+                return model(pixel_values=torch.from_numpy(images.pixel_values(batch)).to(device)).pooler_output.cpu().numpy()
+
+        return predict
+
+    return make

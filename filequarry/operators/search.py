@@ -74,17 +74,24 @@ def object_score(name: Column, priority: Column, query: str) -> Column:
     return hit + extra
 
 
-def ranked_search(documents: DataFrame, query: str, key: str = "id", title: str = "fname", text: str = "inhalt", language: str = "german") -> DataFrame:
-    """key and score of the documents that have every term of a query, in the title or the text: best first, then by key.
+def ranked_search(documents: DataFrame, query: str, key: str = "id", title: str = "fname", text: str = "inhalt", language: str = "german", stemmed: bool = True) -> DataFrame:
+    """key and score of the documents that have every term of a query, in the title or the text: best first, then by title, then by key.
 
     A term equal to a stem of the title counts 15, of the text 5; a term of three letters or more that is only part of one counts 7
-    or 2. A document's score is that of its best term. Terms of one or two letters needn't be found if longer ones are.
+    or 2. A document's score is that of its best term. Terms of one or two letters needn't be found if longer ones are. The text's
+    stems are the stored lexemes where there are any (these hold the title's too, which changes no score); else they are worked out.
+    stemmed=False compares words as they are and reads no stored lexemes.
     """
-    terms = search_terms(query, language)
+    terms = search_terms(query, language) if stemmed else list(dict.fromkeys(w.lower() for w in split_query(query)))
     if not terms:
         return documents.select(key, F.lit(0).alias("score")).limit(0)
-    stems = {c: words.lexemes(words.tokens(F.col(c)), language) for c in (title, text)}
-    rows = documents.select(key, stems[title].alias("_title"), stems[text].alias("_text"))
+    how = language if stemmed else None
+    names, wanted = words.lexemes(words.tokens(F.col(title)), how), words.lexemes(words.tokens(F.col(text)), how)
+    rows = documents.select(key, F.col(title).alias("_name"), names.alias("_title"), wanted.alias("_text"))
+    if stemmed and "lexemes" in documents.columns:
+        stored, without = documents.where(F.col("lexemes").isNotNull()), documents.where(F.col("lexemes").isNull())
+        rows = stored.select(key, F.col(title).alias("_name"), names.alias("_title"), F.col("lexemes").alias("_text"))
+        rows = rows.unionByName(without.select(key, F.col(title).alias("_name"), names.alias("_title"), wanted.alias("_text")))
 
     def points(term: str) -> Column:
         whole = F.when(F.array_contains("_title", term), TITLE).when(F.array_contains("_text", term), TERM)
@@ -92,17 +99,18 @@ def ranked_search(documents: DataFrame, query: str, key: str = "id", title: str
             whole = whole.when(F.exists("_title", lambda w: F.instr(w, term) > 0), PARTIAL_TITLE).when(F.exists("_text", lambda w: F.instr(w, term) > 0), PARTIAL_TERM)
         return whole
 
-    scored = rows.select(key, *[points(t).alias(f"_p{n}") for n, t in enumerate(terms)])
+    scored = rows.select(key, "_name", *[points(t).alias(f"_p{n}") for n, t in enumerate(terms)])
     needed = [n for n, t in enumerate(terms) if len(t) > 2] or list(range(len(terms)))
     found = scored.where(reduce(lambda a, b: a & b, [F.col(f"_p{n}").isNotNull() for n in needed]))
     best = F.col("_p0") if len(terms) == 1 else F.greatest(*[f"_p{n}" for n in range(len(terms))])
-    return found.select(key, best.alias("score")).orderBy(F.desc("score"), key)
+    return found.select(key, best.alias("score"), "_name").orderBy(F.desc("score"), F.lower("_name"), key).select(key, "score")
 
 
-def best_hits(hits: DataFrame, key: str = "id") -> DataFrame:
-    """Hits (key, score …) of several searches, the best of each key, ordered by score, then key."""
-    top = hits.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("score")))).where("_n = 1").drop("_n")
-    return top.orderBy(F.desc("score"), key)
+def best_hits(hits: DataFrame, key: str = "id", title: str | None = None) -> DataFrame:
+    """Hits (key, score …) of several searches, the best of each key, ordered by score, then by title where one is named, then by key."""
+    order = [F.desc("score"), *([F.lower(title)] if title else [])]
+    top = hits.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where("_n = 1").drop("_n")
+    return top.orderBy(*order, key)
 
 
 def snippet(text: Column, keywords: list[str], width: int = 240) -> Column:

@@ -17,6 +17,7 @@ from filequarry.sources import extract
 POOL = "mobil_eingang"
 WANTED = "der und"
 SEARCHED = "Aufnahmen Vereinsbrief"
+SEARCHED_WORDS = "der pdf"
 DOCROOT = "/ablage/"
 
 
@@ -117,7 +118,11 @@ def todo_no_heic(spark: SparkSession, d: str) -> DataFrame:
 
 
 def has_thumb(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "pictures").where("thumbarray is not null").select("id", F.octet_length("thumbarray").cast("bigint").alias("bytes"))
+    """Pictures that have a thumbnail after an update which gives one (their hash stands for it) to those with a vector."""
+    rows, vectors_ = table(spark, d, "pictures"), table(spark, d, "dino_v2_vectors").select(F.col("pic_id").alias("id"))
+    changes = rows.join(vectors_, "id", "left_semi").select("id", F.col("phash").alias("thumbarray"))
+    updated = store.update_keyed(rows.select("id", "thumbarray"), changes, "id", ["thumbarray"])
+    return updated.where("thumbarray is not null").select("id", F.octet_length("thumbarray").cast("bigint").alias("bytes"))
 
 
 def has_phash(spark: SparkSession, d: str) -> DataFrame:
@@ -166,10 +171,17 @@ def chunk_join_doc(spark: SparkSession, d: str) -> DataFrame:
 
 
 def dangling_references(spark: SparkSession, d: str) -> DataFrame:
-    c, o = table(spark, d, "doc_vectors"), table(spark, d, "dbdoc")
+    """Chunks whose document would be missing if a pool's documents were dropped."""
+    c, o = table(spark, d, "doc_vectors"), table(spark, d, "dbdoc").where(F.col("pool") != POOL)
     return c.join(o, c.doc_id == o.id, "left_anti").select("chunk_id", "doc_id")
 
 
+def assigned_ids(spark: SparkSession, d: str) -> DataFrame:
+    """Keys without gaps in the order of paths, as the store gives them to new rows; the old key stands in for the further columns."""
+    rows = table(spark, d, "filemeta").select(F.col("id").alias("old_id"), "path")
+    return store.dense_ids(rows, ["path", "old_id"])
+
+
 def sort_by_date(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "filemeta").orderBy(F.desc("sort_date"), "id").select("id", "sort_date").limit(100)
 
@@ -223,6 +235,11 @@ def ranked_search(spark: SparkSession, d: str) -> DataFrame:
     return search.ranked_search(table(spark, d, "dbdoc"), SEARCHED)
 
 
+def ranked_words(spark: SparkSession, d: str) -> DataFrame:
+    """Ranked search by words as they are, without stems."""
+    return search.ranked_search(table(spark, d, "dbdoc"), SEARCHED_WORDS, stemmed=False)
+
+
 def snippets(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").where("text is not null").select("doc_id", search.snippet(F.col("text"), ["straße"]).alias("snippet"))
 
@@ -235,7 +252,7 @@ def xmp_ratings(spark: SparkSession, d: str) -> DataFrame:
 _ALL = (
     cosine_topk, cosine_topk_pictures, cosine_all, hamming_topk, phash_topk, filemeta_project, doc_record, ftype_classify, path_basename_suffix, relative_paths, sha256_hex, meta_default_first, md_keys, nul_scrub,
     json_round_trip, iso_dates, pool_filter, todo_no_thumb, todo_no_heic, has_thumb, has_phash, pics_from_meta, missing_pics_anti, error_minus_done, hash_lookup, insert_unique, update_keyed, vector_join_pic,
-    chunk_join_doc, dangling_references, sort_by_date, sort_by_date_all, tsvector_tokens, fulltext_all_terms, fulltext_index, fulltext_german, german_stem, html_text, title_search, object_search, ranked_search, snippets, xmp_ratings,
+    chunk_join_doc, dangling_references, sort_by_date, sort_by_date_all, tsvector_tokens, fulltext_all_terms, fulltext_index, fulltext_german, german_stem, html_text, title_search, object_search, ranked_search, ranked_words, snippets, xmp_ratings, assigned_ids,
 )
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 
@@ -259,6 +276,8 @@ _TYPE = f"coalesce({_META.format('Content-Type')}, 'unk/unk')"
 _WORDS = r"regexp_extract_all(lower(left(fname || ' ' || coalesce(inhalt, ''), 800000)), '[\p{L}\p{N}]+')"
 _BITS = "list_transform(embedding[1:64], lambda x: CASE WHEN x > 0 THEN 1 ELSE 0 END)"
 _DISTANCE = "CAST(list_sum(list_transform(list_zip({0}, {1}), lambda p: abs(p[1] - p[2]))) AS INT)"
+_SPACE = r"[\s\p{Z}\x{85}\x{0B}\x{1C}-\x{1F}]"
+_POINTS = "CASE WHEN list_contains(n, '{0}') THEN 15 WHEN list_contains(t, '{0}') THEN 5 WHEN len(list_filter(n, lambda x: contains(x, '{0}'))) > 0 THEN 7 WHEN len(list_filter(t, lambda x: contains(x, '{0}'))) > 0 THEN 2 END"
 
 SQL = {
     "cosine_topk": f"SELECT vec_id, round({_cosine('embedding', '(SELECT embedding FROM embeddings WHERE vec_id = 0)')}, 4) AS sim FROM embeddings ORDER BY {_cosine('embedding', '(SELECT embedding FROM embeddings WHERE vec_id = 0)')} DESC, vec_id LIMIT 10",
@@ -279,7 +298,7 @@ SQL = {
     "pool_filter": f"SELECT id, path, fsize FROM filemeta WHERE pool = '{POOL}'",
     "todo_no_thumb": f"SELECT '{DOCROOT}' || path AS file, id FROM pictures WHERE thumbarray IS NULL",
     "todo_no_heic": f"SELECT '{DOCROOT}' || path AS file, id FROM pictures WHERE thumbarray IS NULL AND suffix NOT IN ('.HEIC', '.heic')",
-    "has_thumb": "SELECT id, octet_length(thumbarray) AS bytes FROM pictures WHERE thumbarray IS NOT NULL",
+    "has_thumb": "SELECT id, octet_length(phash) AS bytes FROM pictures p WHERE phash IS NOT NULL AND EXISTS (SELECT 1 FROM dino_v2_vectors v WHERE v.pic_id = p.id)",
     "has_phash": "SELECT id, lower(hex(phash)) AS phash_hex FROM pictures WHERE phash IS NOT NULL",
     "pics_from_meta": f"SELECT id, path, suffix, fsize FROM filemeta WHERE pool = '{POOL}' AND lower(suffix) IN ({_in(PICTURES)})",
     "missing_pics_anti": f"SELECT id, path FROM filemeta f WHERE lower(suffix) IN ({_in(PICTURES)}) AND NOT EXISTS (SELECT 1 FROM pictures p WHERE p.id = f.id)",
@@ -289,7 +308,10 @@ SQL = {
     "update_keyed": "SELECT p.id, coalesce(CASE WHEN v.pic_id IS NOT NULL THEN false END, p.truncated) AS truncated FROM pictures p LEFT JOIN dino_v2_vectors v ON v.pic_id = p.id",
     "vector_join_pic": "SELECT pic_id, path, len(vector) AS dims FROM dino_v2_vectors v JOIN pictures p ON v.pic_id = p.id",
     "chunk_join_doc": "SELECT chunk_id, doc_id, fname, length(content) AS n_chars FROM doc_vectors c JOIN dbdoc d ON c.doc_id = d.id",
-    "dangling_references": "SELECT chunk_id, doc_id FROM doc_vectors c WHERE NOT EXISTS (SELECT 1 FROM dbdoc d WHERE d.id = c.doc_id)",
+    "dangling_references": f"SELECT chunk_id, doc_id FROM doc_vectors c WHERE NOT EXISTS (SELECT 1 FROM dbdoc d WHERE d.id = c.doc_id AND d.pool <> '{POOL}')",
+    "assigned_ids": "SELECT id AS old_id, path, row_number() OVER (ORDER BY path, id) AS id FROM filemeta",
+    "html_text": f"SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, '[ \\t]*\\n[ \\t]*', chr(10), 'g'), '\\n{_SPACE}*\\n+', chr(10), 'g'), '^{_SPACE}+|{_SPACE}+$', '', 'g') AS text FROM documents WHERE ctype LIKE 'text/html%'",
+    "ranked_words": f"WITH w AS (SELECT id, regexp_extract_all(lower(fname), '[\\p{{L}}\\p{{N}}]+') AS n, regexp_extract_all(lower(coalesce(inhalt, '')), '[\\p{{L}}\\p{{N}}]+') AS t FROM dbdoc), p AS (SELECT id, {_POINTS.format('der')} AS a, {_POINTS.format('pdf')} AS b FROM w) SELECT id, greatest(a, b) AS score FROM p WHERE a IS NOT NULL AND b IS NOT NULL",
     "sort_by_date": "SELECT id, sort_date FROM filemeta ORDER BY sort_date DESC, id LIMIT 100",
     "sort_by_date_all": "SELECT id, sort_date FROM filemeta ORDER BY sort_date DESC, id",
     "tsvector_tokens": f"SELECT id, len({_WORDS}) AS words, len(list_distinct({_WORDS})) AS lexemes FROM dbdoc",

@@ -30,3 +30,5 @@ UNIQUE = {"filemeta": ["path"], "dbdoc": ["path"], "pictures": ["path"]}
 REFERENCES = {"dino_v2_vectors": ("pic_id", "pictures", "id"), "doc_vectors": ("doc_id", "dbdoc", "id")}
 VECTOR_SIZE = {"dino_v2_vectors": 1024}
 PARTITIONED = {"filemeta": ["pool"], "dbdoc": ["pool"], "pictures": ["pool"]}
+# The columns that a table's generated column, lexemes, is worked out from.
+GENERATED = {"dbdoc": ("fname", "inhalt")}

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
@@ -47,11 +49,17 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def checkpointed(df: DataFrame) -> DataFrame:
     """Write df to the folder in spark.checkpoint.dir and return it with its lineage cut.
 
-    The folder is the cluster's; only where the setting is absent (tests, local use) a temporary one is made.
+    The folder is the cluster's. Only a local session without the setting gets a temporary folder, which goes with the process; on a
+    cluster, where each machine would have one of its own, a missing setting is an error.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="filequarry-checkpoint-")
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not context.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+            folder = tempfile.mkdtemp(prefix="filequarry-checkpoint-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
         context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)

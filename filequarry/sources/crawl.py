@@ -79,18 +79,20 @@ class _TreeReader(DataSourceReader):
         import hashlib
 
         for file in partition.files:
+            changed = size = None
             try:
                 stat = os.stat(file)
+                changed, size = datetime.fromtimestamp(stat.st_mtime), stat.st_size
                 digest, kept = hashlib.sha256(), []
-                keep = self._kept(file, stat.st_size)
+                keep = self._kept(file, size)
                 with open(file, "rb") as f:
                     while block := f.read(1 << 20):
                         digest.update(block)
                         if keep:
                             kept.append(block)
-                yield file, datetime.fromtimestamp(stat.st_mtime), stat.st_size, digest.digest(), b"".join(kept) if keep else None, TOO_LARGE if self.content and not keep else None
-            except OSError as e:
-                yield file, None, None, None, None, f"{type(e).__name__}: {e.strerror}"
+                yield file, changed, size, digest.digest(), b"".join(kept) if keep else None, TOO_LARGE if self.content and not keep else None
+            except OSError as e:  # what is known of the file without reading it stays
+                yield file, changed, size, None, None, f"{type(e).__name__}: {e.strerror}"
 
 
 def crawl(spark: SparkSession, root: str, pattern: str = "*", content: bool = True, hidden: bool = True, maxbytes: int = MOST, whole: Iterable[str] = ()) -> DataFrame:

@@ -186,7 +186,8 @@ def extracted(files: DataFrame, suffix: str = "suffix") -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [_one(known, data, suf) for data, suf in zip(batch["content"], batch[suffix], strict=True)]
+            told = [(batch[c] if c in batch else [None] * len(batch)) for c in ("path", "modificationTime", "length")]
+            rows = [_one(known, data, suf, _of_file(*of)) for data, suf, *of in zip(batch["content"], batch[suffix], *told, strict=True)]
             yield batch.drop(columns="content").assign(page_content=[r[0] for r in rows], meta_data=[r[1] for r in rows], error=[e if isinstance(e, str) else r[2] for e, r in zip(batch["error"], rows, strict=True)])
 
     carried = files.select(*[c for c in files.columns if c not in ("page_content", "meta_data")])
@@ -195,11 +196,18 @@ def extracted(files: DataFrame, suffix: str = "suffix") -> DataFrame:
     return ordered.mapInPandas(run, f"{kinds}, error string, page_content string, meta_data string")
 
 
-def _one(known: dict, data, suf) -> tuple[str, str, str | None]:
+def _of_file(path, changed, size) -> dict:
+    """What the file system tells of a file, under the keys file, fdate and fsize."""
+    told = {"file": path, "fdate": None if pd.isna(changed) else pd.Timestamp(changed).isoformat(), "fsize": None if pd.isna(size) else int(size)}
+    return {k: v for k, v in told.items() if v is not None}
+
+
+def _one(known: dict, data, suf, of_file: dict) -> tuple[str, str, str | None]:
     low = (suf or "").lower()
-    meta: dict[str, list[str]] = {"Content-Type": [CONTENT_TYPES[low]]} if low in CONTENT_TYPES else {}
+    meta: dict = {"Content-Type": [CONTENT_TYPES[low]]} if low in CONTENT_TYPES else {}
+    meta |= of_file
     if data is None:
-        return "", json.dumps(meta), None
+        return "", json.dumps(meta, ensure_ascii=False), None
     meta["Content-Length"] = [str(len(data))]
     try:
         if low not in known:
@@ -207,9 +215,9 @@ def _one(known: dict, data, suf) -> tuple[str, str, str | None]:
         text, found = known[low](bytes(data))
         return text.replace("\x00", "null"), json.dumps(meta | found, ensure_ascii=False).replace("\\u0000", "null"), None
     except Unsupported as e:
-        return "", json.dumps(meta), str(e)
+        return "", json.dumps(meta, ensure_ascii=False), str(e)
     except Exception as e:  # noqa: BLE001  a file that breaks its extractor is one row, not the end of the run
-        return "", json.dumps(meta), f"{type(e).__name__}: {e}"[:500]
+        return "", json.dumps(meta, ensure_ascii=False), f"{type(e).__name__}: {e}"[:500]
 
 
 def html_column(html):

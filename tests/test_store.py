@@ -1,9 +1,10 @@
 from datetime import datetime
 
 import pytest
+from pyspark.sql import functions as F
 
 from filequarry import schema
-from filequarry.operators.store import ConstraintError, Store, only_new, update_keyed
+from filequarry.operators.store import ConstraintError, Store, dense_ids, only_new, update_keyed
 
 DAY = datetime(2024, 1, 1)
 
@@ -64,3 +65,65 @@ def test_column_functions(spark):
     changes = spark.createDataFrame([("a", 7), ("a", 9), ("q", 1)], "path string, n int")
     assert [tuple(r) for r in update_keyed(old, changes, "path", ["n"]).collect()] == [("a", 9)]
     assert update_keyed(old.limit(0), changes, "path", ["n"]).count() == 0
+
+
+def test_ids_are_dense_whatever_the_partitions(spark):
+    """Wide and narrow rows, adaptive execution on, as many partitions as Spark's default."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "200")
+    try:
+        assert spark.conf.get("spark.sql.adaptive.enabled") == "true"
+        for width in (128, 3072):
+            calls = spark.sparkContext.accumulator(0)
+
+            def read(batches, width=width, calls=calls):
+                for batch in batches:
+                    calls.add(batch.num_rows)
+                    yield batch
+
+            paths = spark.range(60_000).select(F.sha2(F.col("id").cast("string"), 256).alias("path"), F.repeat(F.lit("x"), width).alias("wide"))
+            rows = dense_ids(paths.mapInArrow(read, "path string, wide string"), ["path"], "id", 5)
+            ranked = rows.select("id", "path").orderBy("path").collect()
+            assert [r["id"] for r in ranked] == list(range(6, 60_006)) and calls.value == 60_000
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_ids_of_ties_nulls_and_nothing(spark):
+    rows = spark.createDataFrame([("b", 1), (None, 2), ("a", 3), ("a", 4), ("a", 3)], "path string, n int")
+    got = sorted((r["id"], r["path"], r["n"]) for r in dense_ids(rows, ["path", "n"]).collect())
+    assert got == [(1, None, 2), (2, "a", 3), (3, "a", 3), (4, "a", 4), (5, "b", 1)]
+    assert dense_ids(rows.limit(0), ["path"]).count() == 0
+
+
+def test_an_update_that_was_cut_off_is_finished(store, monkeypatch):
+    assert store.bulk_insert("pictures", [record("a", "one"), record("b", "two")])
+    changes = store.spark.createDataFrame([(1, b"x"), (2, b"y")], "id bigint, thumbarray binary")
+    with monkeypatch.context() as m:
+        m.setattr(store, "_note", lambda *a: (_ for _ in ()).throw(RuntimeError))
+        with pytest.raises(RuntimeError):  # before the journal stands nothing has changed
+            store.update("pictures", changes, ["thumbarray"])
+    store.recover()
+    assert store.read("pictures").where("thumbarray is not null").count() == 0
+    note = store._note
+
+    def noted(draft, moves):
+        note(draft, moves)
+        source, target = moves[0]
+        store._files.delete(store._path(target), True)  # cut off after a folder was put aside
+        raise RuntimeError
+
+    with monkeypatch.context() as m:
+        m.setattr(store, "_note", noted)
+        with pytest.raises(RuntimeError):
+            store.update("pictures", changes, ["thumbarray"])
+    again = Store(store.spark, store.root)
+    again.recover()
+    assert {r["path"]: bytes(r["thumbarray"]) for r in again.read("pictures").collect()} == {"a": b"x", "b": b"y"}
+
+
+def test_lexemes_are_generated_on_insert_and_update(store):
+    assert store.bulk_insert("dbdoc", [record("a") | {"inhalt": "Die Häuser"}])
+    assert "haus" in store.read("dbdoc").first()["lexemes"]
+    store.update("dbdoc", store.spark.createDataFrame([(1, "Ein Fluss")], "id bigint, inhalt string"), ["inhalt"])
+    assert "fluss" in store.read("dbdoc").first()["lexemes"] and "haus" not in store.read("dbdoc").first()["lexemes"]
