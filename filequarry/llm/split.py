@@ -23,7 +23,8 @@ def _among(codes: np.ndarray, characters: str) -> np.ndarray:
 
 
 def _blank(codes: np.ndarray) -> np.ndarray:
-    return ((codes >= 9) & (codes <= 13)) | ((codes >= 28) & (codes <= 32)) | (codes == 0x85) | (codes == 0xA0) | (codes == 0x1680) | ((codes >= 0x2000) & (codes <= 0x200A)) | np.isin(codes, (0x2028, 0x2029, 0x202F, 0x205F, 0x3000))
+    narrow = ((codes >= 9) & (codes <= 13)) | ((codes >= 28) & (codes <= 32)) | ((codes >= 0x2000) & (codes <= 0x200A))
+    return narrow | np.isin(codes, (0x85, 0xA0, 0x1680, 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))
 
 
 def boundaries(codes: np.ndarray) -> list[np.ndarray]:
@@ -62,17 +63,25 @@ def boundaries(codes: np.ndarray) -> list[np.ndarray]:
     return [paragraph, line, word, loose]
 
 
+def usable_overlap(limit: int, overlap: int) -> int:
+    """The overlap that is aimed at: what is asked for, but less than a third of the limit, so that no piece lies within its neighbours."""
+    return min(max(0, overlap), (max(1, limit) - 1) // 3)
+
+
 def cut(text: str, limit: int, overlap: int) -> list[tuple[int, int]]:
     """Start and end of consecutive pieces of at most `limit` characters that share about `overlap` with the piece before.
 
     A piece ends at the strongest boundary in the second half of its room, else at any natural one, else between characters. The
-    next piece starts at the word boundary nearest to the overlap asked for, if one is within half of it. A text within the limit
-    is one piece, an empty one none. An overlap of a third of the limit or more is taken as just under a third, a limit under 1 as 1.
+    next piece starts at the word boundary nearest to the overlap asked for, else at one between characters, if these leave at most
+    half as much again to share; else it starts where the piece before ends. Every piece ends later than the one before, and no
+    piece is covered by its neighbours. A text within the limit is one piece, an empty one none. An overlap of a third of the limit
+    or more is taken as just under a third (`reduced_overlaps` reports such), a limit under 1 as 1.
     """
     n, limit = len(text), max(1, limit)
     if n <= limit:
         return [(0, n)] if n else []
-    overlap = min(max(0, overlap), (limit - 1) // 3)
+    overlap = usable_overlap(limit, overlap)
+    most = overlap + overlap // 2
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     kinds = boundaries(codes)
     at = np.arange(n + 1)
@@ -81,21 +90,27 @@ def cut(text: str, limit: int, overlap: int) -> list[tuple[int, int]]:
     least = at + limit // 2
     end = reach.copy()
     chosen = np.zeros(n + 1, bool)
-    progress = at + overlap + overlap // 2 + 1
+    # What both neighbours share with a piece is shorter than the piece.
+    progress = at + 2 * most + 1
     for found, floor in ((last[0], least), (last[1], least), (last[2], progress), (last[3], progress)):
         e = found[reach]
         take = ~chosen & (e >= np.maximum(floor, progress))
         end[take] = e[take]
         chosen |= take
     end[at + limit >= n] = n
-    want = np.maximum(end - overlap, 0)
-    below = last[2][want]
-    above = np.minimum.accumulate(np.where(kinds[2], at, n + 1)[::-1])[::-1][want]
-    down, up = np.where(below >= 0, want - below, n), above - want
-    room = overlap // 2
-    start = np.where((down <= up) & (down <= room), below, np.where(up <= np.minimum(room, overlap), above, np.maximum(last[3][want], 0)))
-    start = np.where(start <= at, np.minimum(at + 1, end), start)
-    follower = np.where(end >= n, n, np.minimum(start, end))
+    want, first = np.maximum(end - overlap, 0), np.maximum(end - most, 0)
+
+    def following(kind: np.ndarray) -> np.ndarray:
+        return np.minimum.accumulate(np.where(kind, at, n + 1)[::-1])[::-1][want]
+
+    words, characters = (last[2][want], following(kinds[2])), (last[3][want], following(kinds[3]))
+    start = end.copy()
+    for below, above in (characters, words):  # words last, as they win
+        fits = (below >= first) & (below <= end)
+        near = (above <= end) & ((above - want < want - below) | ~fits)
+        start = np.where(near & (above - want <= overlap // 2), above, np.where(fits, below, start))
+    start = np.where(start <= at, end, start)
+    follower = np.where(end >= n, n, start)
     # Pointer doubling: `reached` holds the first 2^k starts; jumping all of them 2^k pieces ahead gives the next 2^k.
     reached, jump = np.zeros(1, dtype=np.int64), follower
     while reached[-1] != n:
@@ -105,6 +120,12 @@ def cut(text: str, limit: int, overlap: int) -> list[tuple[int, int]]:
     return list(zip(starts.tolist(), end[starts].tolist(), strict=True))
 
 
+def reduced_overlaps(limits: DataFrame, limit: str, overlap: str) -> DataFrame:
+    """The rows of limits (one a pool, say) whose overlap is a third of the limit or more, with the overlap that is used instead: used_overlap."""
+    used = F.greatest(F.lit(0), F.least(F.col(overlap), F.floor((F.greatest(F.lit(1), F.col(limit)) - 1) / 3).cast("int")))
+    return limits.where(F.col(limit).isNotNull()).withColumn("used_overlap", used.cast("int")).where(F.col("used_overlap") < F.col(overlap))
+
+
 def split_texts(df: DataFrame, keys: list[str], text: str, limit: str, overlap: str) -> DataFrame:
     """The pieces of each text longer than its limit: keys, piece_no (from 1), start (in characters), content.
 

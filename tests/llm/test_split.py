@@ -36,6 +36,31 @@ def test_pieces_cover_every_text(text, limit, overlap):
         assert "".join(text[max(a, e) : b] for (a, b), e in zip(pieces, [0, *[b for _, b in pieces]], strict=False)) == text
 
 
+@settings(max_examples=2000, deadline=None)
+@given(st.text("ab .\n。é\u0301👍\u200d", max_size=300), st.integers(1, 60), st.integers(0, 80))
+def test_pieces_share_what_was_asked_and_none_is_redundant(text, limit, overlap):
+    used = split.usable_overlap(limit, overlap)
+    pieces = split.cut(text, limit, overlap)
+    assert used <= overlap and (3 * overlap >= limit or used == overlap)
+    assert all(b < d and 0 <= b - c <= used + used // 2 for (_, b), (c, d) in zip(pieces, pieces[1:], strict=False))
+    assert all(e > b for (_, b), (e, _) in zip(pieces, pieces[2:], strict=False))  # none is covered by its neighbours
+    assert "".join(text[max(a, e) : b] for (a, b), e in zip(pieces, [0, *[b for _, b in pieces]], strict=False)) == text
+
+
+def test_clusters_longer_than_a_piece():
+    marks = ("a" + "\u0301" * 90) * 40
+    pieces = split.cut(marks, 100, 10)
+    assert len(pieces) <= 45 and all(0 <= b - c <= 15 for (_, b), (c, _) in zip(pieces, pieces[1:], strict=False))
+    joined = "👍\u200d" * 400
+    assert len(split.cut(joined, 100, 10)) <= 10
+    assert split.cut("aa\u200daa\u0301", 4, 1)[-1][1] == 6
+
+
+def test_reduced_overlaps_are_reported(spark):
+    pools = spark.createDataFrame([("a", 1000, 50), ("b", 100, 40), ("c", 100, 33), ("d", None, 5)], "pool string, max_chars int, overlap_chars int")
+    assert [(r["pool"], r["used_overlap"]) for r in split.reduced_overlaps(pools, "max_chars", "overlap_chars").collect()] == [("b", 33)]
+
+
 def test_greedy_cuts_equal_a_walk():
     """The squared tables give the cuts that walking from piece to piece gives."""
     for limit, overlap in ((100, 10), (333, 50), (64, 0)):
