@@ -62,3 +62,55 @@ def test_versions_are_published_whole(spark, tmp_path):
     with pytest.raises(RuntimeError):  # another writer was first
         target.publish(target.read(), 1)
     assert target.advance(third, runs(spark)) == 3 and target.read().count() == 3
+
+
+def test_a_run_writes_what_changed(spark, tmp_path):
+    folder = tmp_path / "target"
+    target = inc.VersionedTarget(spark, str(folder))
+    first = [(i, 1, f"p{i}", b"x", 0) for i in range(2000)]
+    assert target.advance(records(spark, first), runs(spark)) == 1
+
+    def size():
+        return sum(f.stat().st_size for f in folder.rglob("*.parquet"))
+
+    def rows_written(part):
+        return spark.read.parquet(str(folder / part)).count()
+
+    whole = size()
+    calls = spark.sparkContext.accumulator(0)
+
+    def process(todo):
+        def result(batches):
+            for batch in batches:
+                calls.add(len(batch))
+                yield batch.assign(result=[__import__("uuid").uuid4().hex for _ in range(len(batch))])
+
+        return todo.mapInPandas(result, todo.schema.simpleString()[7:-1].replace(":", " ") + ", result string")
+
+    changed = first + [(5000 + i, 2, f"p{i}", b"y", 0) for i in range(20)]
+    assert target.advance(records(spark, changed), runs(spark), process) == 2
+    assert rows_written(target.current()["parts"][-1]) == 20 and calls.value == 20 and size() < 1.5 * whole
+    held = target.read()
+    assert held.count() == 2000 and held.where("sha256 = X'79'").count() == 20
+    assert held.select("path", "result").exceptAll(target.read().select("path", "result")).count() == 0  # results stand, though they are random
+    assert target.compact() == 3 and len(target.current()["parts"]) == 1 and target.read().count() == 2000
+    assert target.advance(records(spark, changed), runs(spark)) == 4 and target.read().count() == 2000
+
+
+def test_of_two_writers_one_wins(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    target = inc.VersionedTarget(spark, str(tmp_path / "target"))
+    rows = records(spark, [(1, 1, "a", b"x", 0)])
+    assert target.advance(rows, runs(spark)) == 1
+
+    def commit(n):
+        try:
+            target._commit(2, {"number": 2, "parts": [str(n)]})
+            return n
+        except RuntimeError:
+            return None
+
+    with ThreadPoolExecutor(8) as pool:
+        won = [n for n in pool.map(commit, range(8)) if n is not None]
+    assert len(won) == 1 and target.current()["parts"] == [str(won[0])]
