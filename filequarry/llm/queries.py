@@ -69,26 +69,7 @@ def p10_restored(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_segments, p3_found, p3_neighbours, p7_found, p7_survivors, p8_ids, p9_containers, p10_found, p10_restored)}
 
-SQL = {
-    "p1_found": """
-        SELECT 'dbdoc' AS item, d.id AS item_id FROM dbdoc d JOIN pools p USING (pool) WHERE length(d.inhalt) > p.max_chars
-        UNION ALL
-        SELECT 'doc_vectors', v.chunk_id FROM doc_vectors v JOIN dbdoc d ON v.doc_id = d.id JOIN pools p USING (pool) WHERE length(v.content) > p.max_chars
-    """,
-    "p3_found": """
-        WITH v AS (
-            SELECT 'dino_v2_vectors' AS tbl, pic_id AS id, list_transform(vector, lambda x: CAST(x AS DOUBLE)) AS v FROM dino_v2_vectors
-            UNION ALL SELECT 'doc_vectors', chunk_id, list_transform(vector, lambda x: CAST(x AS DOUBLE)) FROM doc_vectors
-        ), solid AS (
-            SELECT * FROM v WHERE list_sum(list_transform(v, lambda x: x * x)) > 0
-        ), pairs AS (
-            SELECT a.tbl, a.id AS q, b.id AS o, round(list_cosine_similarity(a.v, b.v), 9) AS s FROM solid a JOIN solid b ON a.tbl = b.tbl AND a.id <> b.id
-        ), best AS (
-            SELECT * FROM pairs QUALIFY row_number() OVER (PARTITION BY tbl, q ORDER BY s DESC, o) <= 5
-        )
-        SELECT a.tbl, a.q AS id_a, a.o AS id_b FROM best a JOIN best b ON a.tbl = b.tbl AND a.q = b.o AND a.o = b.q WHERE a.q < a.o AND a.s >= 0.9
-    """,
-    "p7_found": r"""
+_BEST = r"""
         WITH RECURSIVE keys AS (
             SELECT id, 'h' || hex(sha256) AS k FROM filemeta WHERE sha256 IS NOT NULL AND fsize > 0
             UNION ALL
@@ -108,5 +89,30 @@ SQL = {
         SELECT group_id, 'fdate', id FROM facts WHERE fdate < TIMESTAMP '2026-01-01' QUALIFY row_number() OVER (PARTITION BY group_id ORDER BY fdate DESC, id) = 1
         UNION ALL
         SELECT group_id, 'meta_data', id FROM facts QUALIFY row_number() OVER (PARTITION BY group_id ORDER BY filled DESC, fdate DESC NULLS LAST, id) = 1
+    """
+
+SQL = {
+    "p1_found": """
+        SELECT 'dbdoc' AS item, d.id AS item_id FROM dbdoc d JOIN pools p USING (pool) WHERE length(d.inhalt) > p.max_chars
+        UNION ALL
+        SELECT 'doc_vectors', v.chunk_id FROM doc_vectors v JOIN dbdoc d ON v.doc_id = d.id JOIN pools p USING (pool) WHERE length(v.content) > p.max_chars
+    """,
+    "p3_found": """
+        WITH v AS (
+            SELECT 'dino_v2_vectors' AS tbl, pic_id AS id, list_transform(vector, lambda x: CAST(x AS DOUBLE)) AS v FROM dino_v2_vectors
+            UNION ALL SELECT 'doc_vectors', chunk_id, list_transform(vector, lambda x: CAST(x AS DOUBLE)) FROM doc_vectors
+        ), solid AS (
+            SELECT * FROM v WHERE list_sum(list_transform(v, lambda x: x * x)) > 0
+        ), pairs AS (
+            SELECT a.tbl, a.id AS q, b.id AS o, round(list_cosine_similarity(a.v, b.v), 9) AS s FROM solid a JOIN solid b ON a.tbl = b.tbl AND a.id <> b.id
+        ), best AS (
+            SELECT * FROM pairs QUALIFY row_number() OVER (PARTITION BY tbl, q ORDER BY s DESC, o) <= 5
+        )
+        SELECT a.tbl, a.q AS id_a, a.o AS id_b FROM best a JOIN best b ON a.tbl = b.tbl AND a.q = b.o AND a.o = b.q WHERE a.q < a.o AND a.s >= 0.9
+    """,
+    "p7_found": _BEST,
+    "p7_survivors": f"""
+        SELECT group_id, max(CASE WHEN field = 'path' THEN path END) AS path, max(CASE WHEN field = 'fdate' THEN fdate END) AS fdate, max(CASE WHEN field = 'meta_data' THEN meta_data END) AS meta_data
+        FROM ({_BEST}) b JOIN filemeta f USING (id) GROUP BY group_id
     """,
 }

@@ -2,6 +2,7 @@ import random
 from datetime import datetime, timedelta
 
 from filequarry.llm import survivor
+from pyspark.sql import functions as F
 
 SCHEMA = "id bigint, pool string, path string, fsize bigint, sha256 binary, fdate timestamp_ntz, meta_data string, trust int, _pool string"
 DAY = datetime(2020, 1, 1)
@@ -64,3 +65,31 @@ def test_a_hot_group(spark):
     records = rows(*[(i, "a", f"p{i}", 5, b"hot", i % 50, "{}") for i in range(1, 400)], (500, "a", "p7", 5, b"x", 60, None), (501, "b", "q", 5, b"x", 1, None))
     got = {r["field"]: r["id"] for r in survivor.best_members(spark.createDataFrame(records, SCHEMA).repartition(5), pools(spark)).collect()}
     assert got == {"path": 501, "fdate": 500, "meta_data": 500}
+
+
+def test_an_id_given_twice_has_one_survivor(spark):
+    given = rows((1, "a", "x", 5, b"h", 1, '{"k": 1}'), (1, "a", "X", 5, b"h", 3, '{"k": 1, "l": 2}'), (1, "a", "./x", 5, b"h", 2, None), (2, "a", "y", 5, b"h", 2, "{}"))
+    seen = set()
+    for seed in range(3):
+        shuffled = random.Random(seed).sample(given, len(given))
+        seen |= {tuple(r) for r in survivor.survivors(spark.createDataFrame(shuffled, SCHEMA).repartition(4), pools(spark)).collect()}
+    assert len(seen) == 1
+    group, path, fdate, meta = seen.pop()
+    assert group == 1 and path in ("x", "X", "./x") and fdate == DAY + timedelta(days=3) and meta == '{"k": 1, "l": 2}'
+
+
+def test_hot_keys_are_not_shuffled_together(spark):
+    """One hash on half of all rows, and a path on a third: their rows stay where they are."""
+    n = 200_000
+    hot = F.when(F.col("id") % 2 == 0, F.lit(0)).otherwise(F.col("id")).cast("string")
+    keyed = spark.range(n).repartition(8).select(F.md5(hot).alias("by_hash"), F.col("id").alias("path_least"))
+    edges = survivor.hash_edges(keyed, n)
+    assert edges.count() == n and edges.where("b = 0").count() == n // 2
+    places = [r["count"] for r in edges.where("b = 0").groupBy(F.spark_partition_id()).count().collect()]
+    assert len(places) >= 2 and max(places) < 0.6 * (n // 2)  # as distinct left them, which adaptive execution may coalesce
+    star = {r["component"] for r in survivor.components(edges).collect()}
+    assert star == {0}
+    rows_ = spark.range(90_000).select(F.when(F.col("id") < 60_000, F.lit("p")).otherwise(F.col("id").cast("string")).alias("k"), "id")
+    other = spark.createDataFrame([("p", 1), ("70000", 2)], "k string, m int")
+    got = survivor.joined_to_one(rows_, "k", other, 90_000).groupBy("m").count().collect()
+    assert {(r["m"], r["count"]) for r in got} == {(1, 60_000), (2, 1), (None, 29_999)}
