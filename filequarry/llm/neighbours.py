@@ -1,30 +1,39 @@
 """The most similar vectors of every vector, by a permutation index.
 
 A vector is represented by the order of the pivots nearest to it and posted in the inverted files of the first of them. Within a
-file, vectors are ranked by the footrule distance of their permutations and the best are compared exactly. Pivots are rows drawn
-from the table, so that dense regions have many of them. Beyond ROWS_A_PIVOT * MOST_PIVOTS rows the files grow with the table, and so do
-the candidates; long files are compared block against block. The rule is the same at every size.
+file, vectors are ranked by the footrule distance of their permutations and only the best are compared exactly. Pivots are rows drawn
+from the table, so that dense regions have many of them.
+
+A vector is posted in the same number of files at every size of the table, once in each. What grows beyond ROWS_A_PIVOT *
+MOST_PIVOTS rows is the length of the files; where that would pass 2 * BLOCK, files are named by more pivots, in the order in which
+the vector's permutation has them, which parts each into some BRANCHES.
 """
 
 from __future__ import annotations
 
-import hashlib
 import zlib
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-ROWS_A_PIVOT = 50
+ROWS_A_PIVOT = 12
 MOST_PIVOTS = 4096  # bounds what is fitted and sent to the executors, at 1,024 dimensions to 16 MB
-SAMPLED = 4096  # rows from which the centre and the pivots are taken; every row is indexed
+SAMPLED = 5000  # rows from which the centre and the pivots are taken; every row is indexed
 PREFIX = 16  # pivots in a permutation
-FILES = 5  # inverted files in which a vector is posted, enough for neighbours of a similarity of 0.8 or more
-CANDIDATES = 64  # vectors compared exactly with each vector in a file of ROWS_A_PIVOT * FILES, besides ties; more in longer ones
-FAR_FILES, FAR_CANDIDATES = 12, 160  # the same where far neighbours count as much as near ones
-BLOCK = 4096  # the most distinct vectors compared at once; longer files are compared block against block
+FILES = 5  # inverted files in which a vector is posted
+NEAR_FILES = 4  # the same where only neighbours of NEAR or more are asked for
+FAR_FILES = 12  # the same where files are named by several pivots and neighbours below NEAR are asked for
+NEAR = 0.8  # neighbours of this similarity are among the first few dozen by footrule distance, however long the file
+CANDIDATES = 64  # the best by footrule distance, besides ties, that are compared exactly with each vector of a file
+FAR_SHARE = 0.8  # where neighbours below NEAR are asked for, at least this share of a file's vectors is
+BLOCK = 4096  # vectors that a file should hold
+BRANCHES = 32
+SLICE = 500  # vectors whose distances to all pivots are held at once
+QUERIES = 256  # vectors of a file whose candidates are compared at once
 DIGITS = 9  # decimals to which similarities are told apart
 
 
@@ -33,12 +42,19 @@ def _deflated(data: bytes, strategy: int) -> bytes:
     return packer.compress(data) + packer.flush()
 
 
-def _packed(rows: np.ndarray) -> list[bytes]:
-    """float32 vectors without loss in few bytes: whole multiples of a power of two as integers near 0, others by the bytes' significance.
+def _power(rows: np.ndarray) -> int | None:
+    """The least power of two, below 16, that makes whole numbers of nearly as many of these vectors as any does; None if that is not half of them."""
+    shares = [(np.mod(rows * 2.0**k, 1) == 0).all(1).mean() if len(rows) else 0.0 for k in range(16)]
+    return next(k for k, share in enumerate(shares) if share >= max(shares) - 0.01) if max(shares) >= 0.5 else None
+
 
-    The first byte tells which: the power, plus 64 if every integer fits in one byte, or 255. What follows is entropy coded.
+def _packed(rows: np.ndarray, power: int | None = -1) -> list[bytes]:
+    """float32 vectors without loss in few bytes: as integers near 0 where 2^power makes whole numbers of them, others by the bytes' significance.
+
+    The first byte tells which: the power, plus 64 if every integer fits in one byte, or 255. What follows is entropy coded. Equal
+    vectors give equal bytes under one power, which is found in the rows themselves where none is given.
     """
-    power = next((k for k in range(16) if (np.mod(rows[:64] * 2.0**k, 1) == 0).all()), None)
+    power = _power(rows) if power == -1 else power
     if power is not None:
         scaled = rows.astype(np.float64) * 2.0**power
         whole = ((np.mod(scaled, 1) == 0) & (np.abs(scaled) < 1 << 15)).all(1)
@@ -64,16 +80,18 @@ def _unpacked(data: bytes) -> np.ndarray:
     return (((folded >> 1) ^ -(folded & 1)) / 2.0 ** (kind % 64)).astype(np.float32)
 
 
-def _matrix(column: pa.Array, width: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Vectors of length width, or of the most frequent one above 0, as rows, and which rows of the column they are; null or otherwise long ones are left out."""
+def _matrix(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors of one length as rows, -0.0 as 0.0, and which rows of the column they are; those with null entries are left out."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    lengths = np.asarray(pc.fill_null(pc.list_value_length(column), 0))
-    if width is None:
-        width = int(np.bincount(lengths[lengths > 0]).argmax()) if (lengths > 0).any() else 0
-    good = np.flatnonzero((lengths == width) & (width > 0))
-    flat = np.asarray(pc.fill_null(column.take(pa.array(good)).flatten().cast(pa.float32()), 0.0))
-    return np.nan_to_num(flat.reshape(len(good), width), posinf=0, neginf=0), good
+    if not len(column):
+        return np.zeros((0, 0), np.float32), np.zeros(0, np.int64)
+    flat = pc.list_flatten(column)
+    good = np.arange(len(column))
+    if flat.null_count:
+        good = np.flatnonzero(~np.asarray(flat.is_null().to_numpy(zero_copy_only=False)).reshape(len(column), -1).any(1))
+        flat = pc.list_flatten(column.take(pa.array(good)))
+    return np.asarray(flat.cast(pa.float32())).reshape(len(good), -1) + np.float32(0), good
 
 
 def _units(rows: np.ndarray, centre: np.ndarray) -> np.ndarray:
@@ -82,114 +100,183 @@ def _units(rows: np.ndarray, centre: np.ndarray) -> np.ndarray:
     return units / np.maximum(np.linalg.norm(units, axis=1, keepdims=True), 1e-12)
 
 
-def fit(df: DataFrame, vector: str, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
-    """Centre, pivots and the sample, of at most SAMPLED rows drawn by hash; None without a vector that isn't zero."""
+def _finite(vector: str, width: int) -> Column:
+    """Whether a vector has this length and no NaN or infinite entry. NaN is above all in Spark's order; null entries are passed over."""
+    return (F.size(vector) == width) & (F.array_max(vector) < float("inf")) & (F.array_min(vector) > float("-inf"))
+
+
+def _complete(vector: str) -> Column:
+    return F.forall(vector, lambda x: x.isNotNull())
+
+
+def _most_frequent_length(df: DataFrame, vector: str) -> tuple[int, int]:
+    """The length above 0 that most vectors have, of equally frequent ones the longest, and how many have it; 0, 0 without any."""
+    lengths = df.where(F.size(vector) > 0).groupBy(F.size(vector).alias("width")).count().orderBy(F.desc("count"), F.desc("width"))
+    found = lengths.first()
+    return (found["width"], found["count"]) if found else (0, 0)
+
+
+def rejected(df: DataFrame, key: str, vector: str) -> DataFrame:
+    """The rows that take no part: key and reason, 'no key', 'no vector', 'length' (another than most vectors have) or 'value' (NaN, infinite or null)."""
+    width, _ = _most_frequent_length(df, vector)
+    reason = F.when(F.col(key).isNull(), "no key").when(F.col(vector).isNull(), "no vector").when(F.size(vector) != width, "length").when(~(_finite(vector, width) & _complete(vector)), "value")
+    return df.select(key, reason.alias("reason")).where("reason is not null")
+
+
+def fit(df: DataFrame, vector: str, rows: int) -> tuple[np.ndarray, np.ndarray, int | None] | None:
+    """Centre, pivots and the packing's power, from at most SAMPLED rows drawn by hash; None without a vector that isn't zero."""
     share = min(1.0, 1.5 * SAMPLED / max(1, rows))
-    drawn = df.where(F.col(vector).isNotNull())
-    if share < 1:
-        drawn = drawn.where(F.pmod(F.xxhash64(vector), F.lit(1_000_000)) < int(share * 1_000_000))
-    sample = drawn.orderBy(F.xxhash64(vector)).select(vector).limit(SAMPLED).toArrow().column(0)
-    if len(sample) == 0:
-        return None
-    matrix, _ = _matrix(sample)
-    matrix = np.unique(matrix[np.abs(matrix).sum(1) > 0], axis=0)
+    drawn = df.where(F.pmod(F.xxhash64(vector), F.lit(1_000_000)) < int(share * 1_000_000)) if share < 1 else df
+    matrix, _ = _matrix(drawn.orderBy(F.xxhash64(vector)).select(vector).limit(SAMPLED).toArrow().column(0))
+    matrix = np.unique(matrix[np.abs(matrix).sum(1) > 0], axis=0) if matrix.size else matrix
     if not len(matrix):
         return None
     units = matrix / np.linalg.norm(matrix, axis=1, keepdims=True)
-    centre = units.mean(0) if len(units) > 1 else np.zeros(units.shape[1])
+    centre = (units.mean(0) if len(units) > 1 else np.zeros(units.shape[1])).astype(np.float32)
     pivots = min(MOST_PIVOTS, max(16, rows // ROWS_A_PIVOT), len(units))
     chosen = np.random.default_rng(7).permutation(len(units))[:pivots]
-    centred = _units(units.astype(np.float32), centre.astype(np.float32))
-    return centre.astype(np.float32), centred[chosen], centred
+    return centre, _units(units[chosen].astype(np.float32), centre), _power(matrix)
 
 
 def _permutations(units: np.ndarray, points: np.ndarray, width: int) -> np.ndarray:
-    near = units @ points.T
-    order = np.argpartition(-near, width - 1, axis=1)[:, :width]
-    return np.take_along_axis(order, np.argsort(-np.take_along_axis(near, order, axis=1), axis=1, kind="stable"), axis=1).astype(np.int16)
+    """The `width` pivots nearest to each row, the nearest first."""
+    found = np.empty((len(units), width), np.int16)
+    for start in range(0, len(units), SLICE):
+        near = units[start : start + SLICE] @ points.T
+        order = np.argpartition(-near, width - 1, axis=1)[:, :width]
+        ranked = np.argsort(-np.take_along_axis(near, order, axis=1), axis=1, kind="stable")
+        found[start : start + SLICE] = np.take_along_axis(order, ranked, axis=1)
+    return found
 
 
-def _blocks(sample: np.ndarray, points: np.ndarray, width: int, own: int, rows: int) -> dict[int, int]:
-    """Into how many blocks each file is cut that, judged by the sample, will hold more than BLOCK rows."""
-    files, seen = np.unique(_permutations(sample, points, width)[:, :own], return_counts=True)
-    expected = seen * (rows / len(sample))
-    return {int(f): min(1023, int(-(-n // BLOCK))) for f, n in zip(files, expected, strict=True) if n > 2 * BLOCK}
+def _depth(rows: int, pivots: int, width: int, own) -> int:
+    """How many pivots name a file: so many that one should hold no more than 2 * BLOCK vectors. own: files of a vector by depth."""
+    depth = 1
+    while depth < min(5, width) and rows * own(depth) / (pivots * BRANCHES ** (depth - 1)) > 2 * BLOCK:
+        depth += 1
+    return depth
 
 
-def _footrule(order: np.ndarray, mine: slice, pivots: int) -> np.ndarray:
-    """Footrule distances between the permutations of rows `mine` and all rows; a pivot beyond the prefix stands just behind it."""
-    n, width = order.shape
-    place = np.full((n, pivots), width, np.int16)
-    np.put_along_axis(place, order.astype(np.int64), np.arange(width, dtype=np.int16)[None, :], axis=1)
-    near = order[mine].astype(np.int64)
-    distance = np.zeros((near.shape[0], n), np.int16)
-    shared = np.zeros((near.shape[0], n), np.int16)
-    by_pivot = np.ascontiguousarray(place.T)
+def _files(order: np.ndarray, own: int, depth: int, pivots: int) -> np.ndarray:
+    """The numbers of the files of each permutation: those of the `own` sets of `depth` of its pivots that stand farthest in front."""
+    sets = sorted(combinations(range(min(order.shape[1], own + depth - 1)), depth), key=lambda c: (sum(c), c))[:own]
+    named = np.sort(order.astype(np.int64)[:, np.array(sets)], axis=2)
+    return (named * pivots ** np.arange(depth, dtype=np.int64)).sum(2)
+
+
+def _footrule(order: np.ndarray, mine: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Footrule distances between the permutations of rows `mine` and all rows; a pivot beyond the prefix stands just behind it.
+
+    place: where each pivot stands in each row. With w pivots a row the distance is w (w + 1) less twice the sum, over the pivots that
+    both have, of how far the later of its two places is from the end.
+    """
+    width = order.shape[1]
+    shared = np.zeros((len(mine), place.shape[1]), np.int16)
     for j in range(width):
-        at = by_pivot[near[:, j]]
-        distance += np.abs(at - j)
-        shared += np.where(at < width, width - at, 0).astype(np.int16)
-    # Pivots that only the other row has: each adds its distance from the place behind the prefix.
-    return distance + (width * (width + 1) // 2 - shared)
+        shared += width - np.maximum(place[order[mine, j]], np.int8(j))
+    return width * (width + 1) - 2 * shared
+
+
+def _places(order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """order with its pivots numbered anew without gaps, and the place of each in each row, the width where a row has it not."""
+    pivots, numbered = np.unique(order, return_inverse=True)
+    numbered = numbered.reshape(order.shape)
+    n, width = order.shape
+    place = np.full((len(pivots), n), width, np.int8)
+    place[numbered, np.arange(n)[:, None]] = np.arange(width, dtype=np.int8)[None, :]
+    return numbered, place
 
 
-def _best(rows: np.ndarray, order: np.ndarray, pivots: int, keep: int, floor: float, candidates: int, share: float) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each distinct vector the rows most similar to it, itself left out, and their similarities: the `keep` best with all ties.
+def _best(rows: np.ndarray, order: np.ndarray, keep: int, floor: float, share: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, other row, similarity): of each distinct vector the `keep` most similar others with all ties, of those of at least floor.
 
-    At least `candidates` rows, and at least this share of all rows, are compared with each.
+    The CANDIDATES best by footrule distance, or this share of all rows if that is more, with all ties, are compared with each. Where
+    that leaves rows out, rows are taken in the order of their permutations, so that those compared at once share candidates.
     """
     n = len(rows)
-    candidates = max(candidates, int(np.ceil(share * n)))
-    exact = rows.astype(np.float64)
-    norms = np.linalg.norm(exact, axis=1)
-    found = []
-    for start in range(0, n, 512):
-        mine = slice(start, min(n, start + 512))
-        if n - 1 > candidates:
-            distance = _footrule(order, mine, pivots).astype(np.int32)
-            distance[np.arange(mine.stop - start), np.arange(start, mine.stop)] = 1 << 20
-            limit = np.partition(distance, candidates - 1, axis=1)[:, candidates - 1]
-            candidate = distance <= limit[:, None]
+    wanted = max(CANDIDATES, int(np.ceil(share * n)))
+    norms = np.linalg.norm(rows.astype(np.float64), axis=1) if n <= 2 * BLOCK else np.array([np.linalg.norm(r.astype(np.float64)) for r in rows])
+    pruned = n - 1 > wanted
+    walk = np.lexsort(order.T[::-1]) if pruned else np.arange(n)
+    order, place = _places(order) if pruned else (order, None)
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    for start in range(0, n, QUERIES):
+        mine = walk[start : start + QUERIES]
+        line = np.arange(len(mine))
+        columns, candidate = np.arange(n), None
+        if pruned:
+            distance = _footrule(order, mine, place)
+            distance[line, mine] = np.iinfo(np.int16).max
+            candidate = distance <= np.partition(distance, wanted - 1, axis=1)[:, wanted - 1 : wanted]
+            columns = np.flatnonzero(candidate.any(0))
+        similar = np.empty((len(mine), len(columns)))
+        own = rows[mine].astype(np.float64) / norms[mine, None]
+        for c in range(0, len(columns), BLOCK):  # bounds the memory of a long file
+            some = columns[c : c + BLOCK]
+            similar[:, c : c + BLOCK] = own @ (rows[some].astype(np.float64) / norms[some, None]).T
+        similar = np.round(similar, DIGITS)
+        if pruned:
+            similar[~candidate[:, columns]] = -9
         else:
-            candidate = np.ones((mine.stop - start, n), bool)
-        rough = rows[mine] @ rows.T
-        rough /= np.maximum(norms[mine, None] * norms[None, :], 1e-30)
-        candidate &= rough >= floor - 1e-3
-        candidate[np.arange(mine.stop - start), np.arange(start, mine.stop)] = False
-        for i in range(mine.stop - start):
-            others = np.flatnonzero(candidate[i])
-            if len(others) > 4 * keep:
-                near = rough[i, others]
-                others = others[near >= np.partition(near, len(near) - 2 * keep)[len(near) - 2 * keep] - 1e-4]
-            q = start + i
-            similar = np.round(exact[others] @ exact[q] / (norms[others] * norms[q]), DIGITS) if len(others) else np.empty(0)
-            good = similar >= floor
-            others, similar = others[good], similar[good]
-            if len(others) > keep:
-                least = np.sort(similar)[-keep]
-                others, similar = others[similar >= least], similar[similar >= least]
-            found.append((others, similar))
-    return found
-
-
-def nearest(df: DataFrame, key: str, vector: str, k: int = 5, floor: float = -1.0, files: int = FAR_FILES, candidates: int = FAR_CANDIDATES) -> DataFrame:
+            similar[line, mine] = -9
+        good = (similar >= floor) & (similar > -9)
+        if len(columns) > keep:
+            good &= similar >= -np.partition(-similar, keep - 1, axis=1)[:, keep - 1 : keep]
+        q, c = np.nonzero(good)
+        found.append((mine[q], columns[c], similar[q, c]))
+    return tuple(np.concatenate(f) for f in zip(*found, strict=True))
+
+
+def _spread(which: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For entries that each stand for a run of a flat list: which entry and which place of the list each of their elements is."""
+    many = sizes[which]
+    entry = np.repeat(np.arange(len(which)), many)
+    return entry, starts[which][entry] + np.arange(len(entry)) - np.repeat(np.cumsum(many) - many, many)
+
+
+def _nearest_ids(members: list[list[int]], q: np.ndarray, o: np.ndarray, s: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(id, other id, similarity): the k best of each id, where rows of distinct vectors stand for the ids of their copies."""
+    sizes = np.array([len(m) for m in members])
+    flat, starts = np.array([i for m in members for i in m], np.int64), np.cumsum(sizes) - sizes
+    several = np.flatnonzero(sizes > 1)  # copies are neighbours of each other
+    q, o, s = np.concatenate((q, several)), np.concatenate((o, several)), np.concatenate((s, np.ones(len(several))))
+    entry, at = _spread(o, starts, sizes)
+    q, other, s = q[entry], flat[at], s[entry]
+    entry, at = _spread(q, starts, sizes)
+    me, other, s = flat[at], other[entry], s[entry]
+    apart = me != other
+    me, other, s = me[apart], other[apart], s[apart]
+    by = np.lexsort((other, -s, me))
+    me, other, s = me[by], other[by], s[by]
+    first = np.flatnonzero(np.concatenate(([True], me[1:] != me[:-1]))) if len(me) else np.zeros(0, np.int64)
+    rank = np.arange(len(me)) - np.repeat(first, np.diff(np.append(first, len(me))))
+    return me[rank < k], other[rank < k], s[rank < k]
+
+
+def _source(df: DataFrame, key: str, vector: str) -> tuple[DataFrame, int]:
+    """id and vector of the rows that take part, and how many vectors of their length there are."""
+    rows = df.where(F.col(key).isNotNull() & F.col(vector).isNotNull()).select(F.col(key).cast("bigint").alias("id"), F.col(vector).cast("array<float>").alias("vector"))
+    width, count = _most_frequent_length(rows, "vector")
+    return rows.where(_finite("vector", width)), count
+
+
+def nearest(df: DataFrame, key: str, vector: str, k: int = 5, floor: float = -1.0, files: int | None = None) -> DataFrame:
     """The k most similar other rows of each row, by cosine: id, other, similarity, of which those of at least `floor` are given.
 
     On equal similarity (to 9 decimals) the lower id comes first. Equal vectors are compared once: a row's first neighbours are then
     the lowest ids of its copies, and only the k + 1 lowest ids of copies can be anyone's neighbours among them. A zero vector has
-    similarity 0 to all and is indexed nowhere: with floor <= 0 its neighbours are the lowest other ids. Null vectors and null ids
-    take no part. Vectors must have one length; those of another than the sample's most frequent are left out. floor is at most 1.
-    files and candidates set how much is compared: see FILES and FAR_FILES. candidates are those of a file of ROWS_A_PIVOT * files rows, and
-    grow in proportion in longer ones.
+    similarity 0 to all and is indexed nowhere: with floor <= 0 its neighbours are the lowest other ids. Rows without a key or vector,
+    with a vector of another length than most, or with values that are no numbers take no part; `rejected` lists them. floor is at
+    most 1. files: in how many files a vector is posted, if not as FILES, NEAR_FILES and FAR_FILES say.
     """
-    spark = df.sparkSession
-    source = df.where(F.col(key).isNotNull() & F.col(vector).isNotNull()).select(F.col(key).cast("bigint").alias("id"), F.col(vector).cast("array<float>").alias("vector"))
-    found = _indexed(source, k, floor, files, candidates).unionByName(_further_copies(source, k))
+    source, count = _source(df, key, vector)
+    found = _indexed(source, count, k, floor, files).unionByName(_further_copies(source, k))
     if floor > 0:
         return found
     # Zero vectors: similarity 0 to all, so their neighbours are the lowest ids. k + 1 ids reach the driver.
+    source = source.where(_complete("vector"))
     lowest = [r["id"] for r in source.select("id").distinct().orderBy("id").limit(k + 1).collect()]
-    zero = source.where(F.forall("vector", lambda x: F.coalesce(x, F.lit(0.0)) == 0)).select("id").distinct()
+    zero = source.where(F.forall("vector", lambda x: x == 0)).select("id").distinct()
     others = F.slice(F.filter(F.array(*map(F.lit, lowest)).cast("array<bigint>"), lambda x: x != F.col("id")), 1, k)
     return found.unionByName(zero.select("id", F.explode(others).alias("other"), F.lit(0.0).alias("similarity")))
 
@@ -206,85 +293,62 @@ def _further_copies(source: DataFrame, k: int) -> DataFrame:
     return beyond.select("id", F.explode("near").alias("other"), F.lit(1.0).alias("similarity")).distinct()
 
 
-def _indexed(source: DataFrame, k: int, floor: float, own: int, candidates: int) -> DataFrame:
-    """nearest for the vectors that aren't zero."""
+def _indexed(source: DataFrame, rows: int, k: int, floor: float, files: int | None) -> DataFrame:
+    """nearest for the vectors that aren't zero. rows: about how many there are."""
     spark = source.sparkSession
-    rows = source.count()
     model = fit(source, "vector", rows)
     empty = "id bigint, other bigint, similarity double"
     if model is None:
         return spark.createDataFrame([], empty)
     pivots, keep = len(model[1]), k + 1
-    share = candidates / (ROWS_A_PIVOT * own)
     width = min(PREFIX, pivots)
-    shared = spark.sparkContext.broadcast((*model[:2], _blocks(model[2], model[1], width, own, rows)))
+    share = 0.0 if floor >= NEAR else FAR_SHARE
+
+    def own(depth: int) -> int:
+        return files or (NEAR_FILES if floor >= NEAR else FILES if depth == 1 else FAR_FILES)
+
+    depth = _depth(rows, pivots, width, own)
+    each = own(depth)
+    shared = spark.sparkContext.broadcast(model)
 
     def posted(batches):
-        centre, points, blocks = shared.value
+        centre, points, power = shared.value
         for batch in batches:
-            matrix, good = _matrix(batch.column("vector"), len(centre))
-            if not len(good):
-                continue
-            ids = np.asarray(batch.column("id"))[good]
+            matrix, good = _matrix(batch.column("vector"))
             solid = np.abs(matrix).sum(1) > 0
-            matrix, ids = matrix[solid] + 0.0, ids[solid]
-            if not len(ids):
-                continue
+            matrix, ids = matrix[solid], np.asarray(batch.column("id"))[good][solid]
             # Copies in a batch are posted once, with their lowest ids.
-            digests = np.array([hashlib.blake2b(r.tobytes(), digest_size=16).digest() for r in matrix], dtype="V16")
-            by = np.lexsort((ids, digests.view("u8").reshape(-1, 2)[:, 0], digests.view("u8").reshape(-1, 2)[:, 1]))
-            heads = np.flatnonzero(np.concatenate(([True], digests[by][1:] != digests[by][:-1])))
-            ends = np.append(heads[1:], len(by))
-            matrix = matrix[by[heads]]
-            order = _permutations(_units(matrix, centre), points, width)
-            files = order[:, :own]
-            digest = [digests[by[h]].tobytes() for h in heads]
-            at, to = [], []
-            for row, its in enumerate(files.tolist()):
-                for file in its:
-                    parts = blocks.get(file, 1)
-                    mine = digest[row][0] * 256 + digest[row][1]
-                    for other in range(parts):  # a long file's block meets every block of it
-                        low, high = sorted((mine % parts, other))
-                        at.append(row)
-                        to.append((file * 1024 + low) * 1024 + high)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(to, pa.int64()),
-                    pa.array(digest, pa.binary()).take(pa.array(at)),
-                    pa.array([np.unique(ids[by[a:b]])[:keep].tolist() for a, b in zip(heads, ends, strict=True)], pa.list_(pa.int64())).take(pa.array(at)),
-                    pa.array([o.tobytes() for o in order], pa.binary()).take(pa.array(at)),
-                    pa.array(_packed(matrix), pa.binary()).take(pa.array(at)),
-                ],
-                names=["file", "digest", "members", "permutation", "packed"],
-            )
-
-    postings = source.mapInArrow(posted, "file bigint, digest binary, members array<bigint>, permutation binary, packed binary")
+            index: dict[bytes, list[int]] = {}
+            for start in range(0, len(matrix), SLICE):
+                for row, data in enumerate(_packed(matrix[start : start + SLICE], power), start):
+                    index.setdefault(data, []).append(row)
+            if not index:
+                continue
+            heads = [at[0] for at in index.values()]
+            order = _permutations(_units(matrix[heads], centre), points, width)
+            to = _files(order, each, depth, pivots)
+            at = np.repeat(np.arange(len(heads)), to.shape[1])
+            members = pa.array([np.unique(ids[at])[:keep].tolist() for at in index.values()], pa.list_(pa.int64()))
+            columns = [members, pa.array([o.tobytes() for o in order], pa.binary()), pa.array(list(index), pa.binary())]
+            yield pa.RecordBatch.from_arrays([pa.array(to.ravel()), *[c.take(pa.array(at)) for c in columns]], names=["file", "members", "permutation", "packed"])
+
+    postings = source.mapInArrow(posted, "file bigint, members array<bigint>, permutation binary, packed binary")
 
     def compared(table: pa.Table) -> pa.Table:
         index: dict[bytes, int] = {}
         members: list[list[int]] = []
         first: list[int] = []
-        for row, (digest, ids) in enumerate(zip(table.column("digest").to_pylist(), table.column("members").to_pylist(), strict=True)):
-            at = index.setdefault(digest, len(members))
+        for row, (data, ids) in enumerate(zip(table.column("packed").to_pylist(), table.column("members").to_pylist(), strict=True)):
+            at = index.setdefault(data, len(members))
             if at == len(members):
                 members.append(ids)
                 first.append(row)
             else:
                 members[at] = sorted({*members[at], *ids})[:keep]
-        distinct = table.select(["permutation", "packed"]).take(pa.array(first))
-        order = np.stack([np.frombuffer(p, np.int16) for p in distinct.column("permutation").to_pylist()])
-        matrix = np.stack([_unpacked(p) for p in distinct.column("packed").to_pylist()])
-        out: tuple[list, list, list] = ([], [], [])
-        for at, (others, similar) in enumerate(_best(matrix, order, pivots, keep, floor, candidates, share)):
-            near = sorted((-s, i) for o, s in zip(others.tolist(), similar.tolist(), strict=True) for i in members[o])
-            for me in members[at]:
-                copies = [(-1.0, i) for i in members[at] if i != me]
-                for s, i in sorted(copies + near[: 2 * keep])[:k]:
-                    out[0].append(me)
-                    out[1].append(i)
-                    out[2].append(-s)
-        return pa.table([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], names=["id", "other", "similarity"])
+        order = np.stack([np.frombuffer(p, np.int16) for p in table.column("permutation").take(pa.array(first)).to_pylist()])
+        matrix = np.stack([_unpacked(p) for p in index])
+        found = _nearest_ids(members, *_best(matrix, order, keep, floor, share), k)
+        return pa.table([pa.array(f, t) for f, t in zip(found, (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["id", "other", "similarity"])
 
     pairs = postings.groupBy("file").applyInArrow(compared, empty)
     # A row's finds in its files, at most k from each, are merged.
@@ -292,9 +356,9 @@ def _indexed(source: DataFrame, k: int, floor: float, own: int, candidates: int)
     return merged.select("id", F.explode("best").alias("b")).select("id", F.col("b.other").alias("other"), (-F.col("b.far")).alias("similarity"))
 
 
-def mutual_pairs(df: DataFrame, key: str, vector: str, k: int = 5, floor: float = 0.9, files: int = FILES, candidates: int = CANDIDATES) -> DataFrame:
+def mutual_pairs(df: DataFrame, key: str, vector: str, k: int = 5, floor: float = 0.9, files: int | None = None) -> DataFrame:
     """Pairs id_a < id_b in which each is among the other's k most similar and the similarity is at least `floor`, which is above 0."""
-    source = df.where(F.col(key).isNotNull() & F.col(vector).isNotNull()).select(F.col(key).cast("bigint").alias("id"), F.col(vector).cast("array<float>").alias("vector"))
-    found = _indexed(source, k, floor, files, candidates)
+    source, count = _source(df, key, vector)
+    found = _indexed(source, count, k, floor, files)
     ordered = found.select(F.least("id", "other").alias("id_a"), F.greatest("id", "other").alias("id_b"), "id")
     return ordered.groupBy("id_a", "id_b").agg(F.countDistinct("id").alias("sides")).where("sides = 2").select("id_a", "id_b")

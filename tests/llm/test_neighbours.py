@@ -98,3 +98,59 @@ def test_packing_is_exact(scale):
     rows = (np.rint(rows * scale) / scale if scale != 0.37 else rows).astype(np.float32)
     rows[69] = 1e30
     assert all((neighbours._unpacked(p) == r).all() for p, r in zip(neighbours._packed(rows), rows, strict=True))
+
+
+def test_a_vector_has_as_many_files_at_every_depth():
+    order = np.stack([np.random.default_rng(i).permutation(40)[:16] for i in range(50)]).astype(np.int16)
+    for own, depth in ((5, 1), (4, 2), (12, 2), (12, 3)):
+        files = neighbours._files(order, own, depth, 40)
+        assert files.shape == (50, own) and all(len(set(row)) == own for row in files.tolist())
+    assert neighbours._depth(3_000_000, 4096, 16, lambda d: 5) == 1 and neighbours._depth(10**8, 4096, 16, lambda d: 5) == 2 and neighbours._depth(10**11, 4096, 16, lambda d: 5) == 4
+
+
+def test_footrule_is_what_it_says():
+    rng = np.random.default_rng(2)
+    order = np.stack([rng.permutation(30)[:6] for _ in range(40)])
+    numbered, place = neighbours._places(order)
+    got = neighbours._footrule(numbered, np.arange(40), place)
+    for a in range(40):
+        for b in range(40):
+            x, y = order[a].tolist(), order[b].tolist()
+            want = sum(abs((x.index(p) if p in x else 6) - (y.index(p) if p in y else 6)) for p in set(x) | set(y))
+            assert got[a, b] == want
+
+
+def test_products_are_made_for_candidates_only(monkeypatch):
+    """With candidates left out by footrule distance, near neighbours are still found."""
+    monkeypatch.setattr(neighbours, "CANDIDATES", 20)
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(100, 32))
+    rows = np.repeat(centres, 6, axis=0) + rng.normal(size=(600, 32)) * 0.1
+    rows = rows.astype(np.float32)
+    units = rows / np.linalg.norm(rows, axis=1, keepdims=True)
+    order = neighbours._permutations(units, units[rng.permutation(600)[:64]], 16)
+    q, o, s = neighbours._best(rows, order, 6, 0.9, 0.0)
+    exact = units.astype(float) @ units.T.astype(float)
+    np.fill_diagonal(exact, -1)
+    want = {(a, b) for a in range(600) for b in np.argsort(-exact[a])[:5] if exact[a, b] >= 0.9}
+    got = set(zip(q.tolist(), o.tolist(), strict=True))
+    assert len(got & want) / len(want) > 0.97 and np.allclose(s, [exact[a, b] for a, b in zip(q, o, strict=True)], atol=1e-6)
+
+
+def test_several_pivots_name_the_files_of_a_large_table(spark, monkeypatch):
+    rows = clusters(seed=9, n=40, size=8)
+    monkeypatch.setattr(neighbours, "MOST_PIVOTS", 24)
+    monkeypatch.setattr(neighbours, "BLOCK", 30)
+    assert neighbours._depth(len(rows), 24, 16, lambda d: 5) == 2
+    want = brute(rows, 5, 0.9)
+    got = {(r["id"], r["other"]) for r in neighbours.nearest(frame(spark, rows), "id", "vector", 5, 0.9).collect()}
+    assert len(got & want) / len(want) >= 0.95
+
+
+def test_what_takes_no_part_is_listed(spark):
+    rows = [(1, [1.0, 2.0]), (2, [2.0, 1.0]), (3, [1.0]), (4, None), (None, [1.0, 1.0]), (5, [float("nan"), 1.0]), (6, [float("-inf"), 1.0]), (7, [None, 1.0]), (8, [0.0, 0.0])]
+    df = spark.createDataFrame(rows, "id bigint, vector array<float>")
+    got = {(r["id"], r["reason"]) for r in neighbours.rejected(df, "id", "vector").collect()}
+    assert got == {(3, "length"), (4, "no vector"), (None, "no key"), (5, "value"), (6, "value"), (7, "value")}
+    near = {(r["id"], r["other"]) for r in neighbours.nearest(df, "id", "vector", 2).collect()}
+    assert near == {(1, 2), (2, 1), (8, 1), (8, 2)}
