@@ -4,9 +4,10 @@ A vector is represented by the order of the pivots nearest to it and posted in t
 file, vectors are ranked by the footrule distance of their permutations and only the best are compared exactly. Pivots are rows drawn
 from the table, so that dense regions have many of them.
 
-A vector is posted in the same number of files at every size of the table, once in each. What grows beyond ROWS_A_PIVOT *
-MOST_PIVOTS rows is the length of the files; where that would pass 2 * BLOCK, files are named by more pivots, in the order in which
-the vector's permutation has them, which parts each into some BRANCHES.
+A vector is sent to each of its files once, FILES of them where neighbours of NEAR or more are asked for, whatever the size of the
+table. Beyond ROWS_A_PIVOT * MOST_PIVOTS rows the files grow longer; farther neighbours then take a file more for each doubling of the
+rows a pivot stands for. Where files would hold more than 2 * BLOCK vectors, they are named by more pivots, in the order in which the
+vector's permutation has them, which parts each into some BRANCHES.
 """
 
 from __future__ import annotations
@@ -24,9 +25,8 @@ ROWS_A_PIVOT = 12
 MOST_PIVOTS = 4096  # bounds what is fitted and sent to the executors, at 1,024 dimensions to 16 MB
 SAMPLED = 5000  # rows from which the centre and the pivots are taken; every row is indexed
 PREFIX = 16  # pivots in a permutation
-FILES = 5  # inverted files in which a vector is posted
-NEAR_FILES = 4  # the same where only neighbours of NEAR or more are asked for
-FAR_FILES = 12  # the same where files are named by several pivots and neighbours below NEAR are asked for
+FILES = 4  # inverted files in which a vector is posted
+FAR_FILES = 12  # at most so many where neighbours below NEAR are asked for, and as many where files are named by several pivots
 NEAR = 0.8  # neighbours of this similarity are among the first few dozen by footrule distance, however long the file
 CANDIDATES = 64  # the best by footrule distance, besides ties, that are compared exactly with each vector of a file
 FAR_SHARE = 0.8  # where neighbours below NEAR are asked for, at least this share of a file's vectors is
@@ -267,7 +267,7 @@ def nearest(df: DataFrame, key: str, vector: str, k: int = 5, floor: float = -1.
     the lowest ids of its copies, and only the k + 1 lowest ids of copies can be anyone's neighbours among them. A zero vector has
     similarity 0 to all and is indexed nowhere: with floor <= 0 its neighbours are the lowest other ids. Rows without a key or vector,
     with a vector of another length than most, or with values that are no numbers take no part; `rejected` lists them. floor is at
-    most 1. files: in how many files a vector is posted, if not as FILES, NEAR_FILES and FAR_FILES say.
+    most 1. files: in how many files a vector is posted, if not in as many as FILES and FAR_FILES say.
     """
     source, count = _source(df, key, vector)
     found = _indexed(source, count, k, floor, files).unionByName(_further_copies(source, k))
@@ -305,7 +305,8 @@ def _indexed(source: DataFrame, rows: int, k: int, floor: float, files: int | No
     share = 0.0 if floor >= NEAR else FAR_SHARE
 
     def own(depth: int) -> int:
-        return files or (NEAR_FILES if floor >= NEAR else FILES if depth == 1 else FAR_FILES)
+        doublings = max(0, int(np.log2(max(1, rows) / (pivots * ROWS_A_PIVOT))))
+        return files or (FILES if floor >= NEAR else min(FAR_FILES, FILES + doublings) if depth == 1 else FAR_FILES)
 
     depth = _depth(rows, pivots, width, own)
     each = own(depth)
