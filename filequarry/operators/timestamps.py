@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from filequarry.session import materialised
+
 # Month names and the offsets, in minutes, of zone abbreviations.
 MONTHS = {
     "january": 1, "february": 2, "march": 3, "april": 4, "may": 5, "june": 6, "july": 7, "august": 8, "september": 9, "october": 10, "november": 11, "december": 12,
@@ -142,17 +144,26 @@ def normalise_fields(records: DataFrame, pools: DataFrame, keep: list[str]) -> D
     return with_instant(long.select(*keep, "_tz", "_v.field", "_v.raw"), "raw", "_tz").drop("_tz")
 
 
+CHUNKS = 64  # parts in which the records of one way of writing one instant are gathered
+
+
 def same_instant_pairs(records: DataFrame, pools: DataFrame) -> DataFrame:
     """Pairs of records of one device and path that write one instant of a field differently: field, rec_a, rec_b (rec_a < rec_b).
 
     Records with a null device, path or id are in no pair; a record given twice under one id is in no pair with itself.
+
+    Records are first gathered by what they write, in CHUNKS parts and combined before they are shuffled, and these parts are joined:
+    the copies of an unchanged file, however many, never meet each other, and each instant is worked out once.
     """
     dated = normalise_fields(records, pools, ["rec_id", "device_id", "path"])
-    # Exploding the instant drops nulls without a predicate that would be pushed into, and double, the work of the projections.
-    dated = dated.select("rec_id", "device_id", "path", "field", "raw", F.explode(F.array_compact(F.array("instant_us"))).alias("instant_us"))
-    a = dated.select("device_id", "path", "field", "instant_us", F.col("rec_id").alias("rec_a"), F.col("raw").alias("raw_a"))
-    b = dated.select("device_id", "path", "field", "instant_us", F.col("rec_id").alias("rec_b"), F.col("raw").alias("raw_b"))
-    pairs = a.join(b, ["device_id", "path", "field", "instant_us"]).where("rec_a < rec_b and raw_a <> raw_b")
-    return pairs.select("field", "rec_a", "rec_b")
-
-
+    # Written once, as both sides of the join read it; filters and the join's exchange are then shared.
+    dated = materialised(dated.select("rec_id", "device_id", "path", "field", "raw", "instant_us")).where("instant_us is not null and device_id is not null and path is not null")
+    same = ["device_id", "path", "field", "instant_us"]
+    written = dated.groupBy(*same, "raw", F.pmod("rec_id", F.lit(CHUNKS)).alias("chunk")).agg(F.collect_list("rec_id").alias("recs"))
+    a, b = written.alias("a"), written.alias("b")
+    together = F.lit(True)
+    for k in same:
+        together = together & (F.col(f"a.{k}") == F.col(f"b.{k}"))
+    met = a.join(b, together & (F.col("a.raw") < F.col("b.raw")))
+    pairs = met.select(F.col("a.field").alias("field"), F.explode("a.recs").alias("x"), F.col("b.recs").alias("_b")).select("field", "x", F.explode("_b").alias("y"))
+    return pairs.where("x <> y").select("field", F.least("x", "y").alias("rec_a"), F.greatest("x", "y").alias("rec_b"))

@@ -6,6 +6,7 @@ import atexit
 import os
 import shutil
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -46,13 +47,12 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Write df to the folder in spark.checkpoint.dir and return it with its lineage cut.
+def shared_folder(spark: SparkSession) -> str:
+    """The session's folder for intermediate data: the one in spark.checkpoint.dir, which all machines share.
 
-    The folder is the cluster's. Only a local session without the setting gets a temporary folder, which goes with the process; on a
-    cluster, where each machine would have one of its own, a missing setting is an error.
+    Only a local session without the setting gets a temporary folder, which goes with the process; on a cluster, where each machine
+    would have one of its own, a missing setting is an error.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -62,4 +62,22 @@ def checkpointed(df: DataFrame) -> DataFrame:
             folder = tempfile.mkdtemp(prefix="filequarry-checkpoint-")
             atexit.register(shutil.rmtree, folder, ignore_errors=True)
         context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df written to the shared folder with its rows' order and partitions, its lineage cut. Spark removes it when it is no longer
+    referred to, if spark.cleaner.referenceTracking.cleanCheckpoints is set.
+    """
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def materialised(df: DataFrame) -> DataFrame:
+    """df written to the shared folder as Parquet, which is smaller and read by columns; it is deleted when the driver ends."""
+    spark = df.sparkSession
+    place = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(place)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+    df.write.option("compression", "zstd").parquet(place)
+    return spark.read.schema(df.schema).parquet(place)

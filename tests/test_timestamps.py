@@ -2,6 +2,7 @@ from datetime import UTC, datetime, timedelta
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from filequarry.operators import timestamps as ts
 
@@ -87,3 +88,15 @@ def test_pairs(spark):
 
 def test_instants_are_aware():
     assert datetime.fromtimestamp(0, UTC).year == 1970
+
+
+def test_copies_of_an_unchanged_file_do_not_meet(spark):
+    """30,000 sightings that write one instant one way and one that writes it another: as many pairs, and no more rows joined."""
+    n = 30_000
+    rows = spark.range(n + 1).select(
+        F.col("id").alias("rec_id"), F.lit(1).cast("bigint").alias("device_id"), F.lit("p").alias("path"), F.lit("a").alias("pool"), F.lit(None).cast("string").alias("meta_data"),
+        F.when(F.col("id") == 77, "2024-05-01T12:00:00+00:00").otherwise("2024-05-01T12:00:00Z").alias("fdate"), F.lit(None).cast("string").alias("sort_date"),
+    )
+    pools = spark.createDataFrame([("a", "UTC")], "pool string, tz string")
+    got = ts.same_instant_pairs(rows, pools)
+    assert got.count() == n and got.where("rec_a = 77 or rec_b = 77").count() == n and got.where("rec_a >= rec_b").count() == 0
