@@ -10,6 +10,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +47,8 @@ def _table(encoding: str) -> tuple[dict[int, str], dict[str, int]]:
 
 
 _TABLES = {e: _table(e) for e in TAKEN}
+# Where a word whose whole is sound may be parted: punctuation that joins words without blanks.
+_JOINT = re.compile("[!-/:-@\\[-`{-~–—―…·•|“”„«»‘’‚‹›。、，；：！？（）「」『』]+")
 
 
 def chains() -> list[tuple[str, ...]]:
@@ -229,42 +232,85 @@ def train(parts: dict[str, int], rounds: int = 2, seen: dict[str, int] | None =
     return model
 
 
+@lru_cache(1 << 16)
+def inner_spans(word: str) -> tuple[tuple[int, int, str | None], ...]:
+    """Parts of a word that may have been decoded wrongly by themselves: (start, end, encoding it was taken for or None if any).
+
+    First what stands between joining punctuation, then, for text without blanks, the longest runs that one encoding's alphabet can
+    give. Parts of plain ASCII, parts with one character beyond it between other alphabets, and the whole word are left out.
+    """
+    parts, start = [], 0
+    for m in [*_JOINT.finditer(word), None]:
+        end = m.start() if m else len(word)
+        parts.append((start, end))
+        start = m.end() if m else end
+    spans: list[tuple[int, int, str | None]] = [(a, b, None) for a, b in parts if b - a < len(word) and not word[a:b].isascii()]
+    runs: list[tuple[int, int, str | None]] = []
+    for taken in TAKEN:
+        back, start = _TABLES[taken][1], None
+        for at, c in enumerate([*word, None]):
+            if c is not None and c in back and not c.isspace():
+                start = at if start is None else start
+            elif start is not None:
+                if at - start < len(word) and sum(x > "\x7f" for x in word[start:at]) >= 2:
+                    runs.append((start, at, taken))
+                start = None
+    return (*spans, *sorted(runs, key=lambda r: (r[0] - r[1], r[0])))
+
+
+def _spots(word: str, verdict) -> list[tuple[int, int, tuple]]:
+    """Where a word is garbled: (start, end, verdict), in order, none within another."""
+    whole = verdict(word)
+    if whole is not None:
+        return [(0, len(word), whole)]
+    found: list[tuple[int, int, tuple]] = []
+    for a, b, taken in inner_spans(word):
+        if all(b <= x or a >= y for x, y, _ in found):
+            part = verdict(word[a:b])
+            # A run is as long as its encoding's alphabet reaches, so only that encoding's chains, of several bytes a character, are meant.
+            if part is not None and (taken is None or (part[2][-1] == taken and part[2][0] == "utf-8")):
+                found.append((a, b, part))
+    return sorted(found)
+
+
 def mend(text: str, verdict) -> tuple[str, Counter, int] | None:
     """The restored text, how many words each chain had garbled, and how many lost characters stay lost; None for a sound text.
 
-    A word is quoted as an example, and left alone, if what it would be restored to stands beside it.
+    A word, or a part of one between punctuation or other alphabets, is judged by the classifier. It is quoted as an example, and left
+    alone, if what it would be restored to stands beside it.
     """
     chains_seen: Counter = Counter()
     lost = 0
     out, end = [], 0
     for m in _WORD.finditer(text):
         word = m.group()
-        found = verdict(word)
-        if found is None:
-            # U+FFFD stands for what a decoder had to give up, unless it is named by itself between quotation marks.
-            if "�" in word and not re.fullmatch(r"[\"'“”„«»‘’(]�+[\"'“”„«»‘’)][.,;:]?", word):
-                lost += word.count("�")
-            continue
-        plain = found[1]
-        # A lone Cyrillic word in a text without any must be twice as sure.
-        stray = found[0] < 2 * MARGIN and _CYRILLIC.search(plain) and not _CYRILLIC.search(text)
-        if stray or _quoted(text, m, plain):
-            continue
-        chains_seen[found[2]] += 1
-        out += [text[end : m.start()], plain]
-        end = m.end()
+        spots = _spots(word, verdict)
+        # U+FFFD stands for what a decoder had to give up, unless it is named by itself between quotation marks.
+        if not spots and "�" in word and not re.fullmatch(r"[\"'“”„«»‘’(]�+[\"'“”„«»‘’)][.,;:]?", word):
+            lost += word.count("�")
+        for a, b, (margin, plain, chain) in spots:
+            first, last = m.start() + a, m.start() + b
+            # A lone Cyrillic word in a text without any must be twice as sure.
+            stray = margin < 2 * MARGIN and _CYRILLIC.search(plain) and not _CYRILLIC.search(text)
+            if stray or _quoted(text, first, last, plain):
+                continue
+            chains_seen[chain] += 1
+            out += [text[end:first], plain]
+            end = last
     if not chains_seen and not lost:
         return None
     return "".join(out) + text[end:], chains_seen, lost
 
 
-def _quoted(text: str, m: re.Match, plain: str) -> bool:
-    around = text[max(0, m.start() - 2) : m.end() + 2]
-    return bool(re.search(r"[\"'“”„«»‘’]", around.replace(m.group(), " "))) and len(plain) <= 6 and plain.strip("\"'“”„«»‘’.,") in text[m.end() : m.end() + 40]
+def _quoted(text: str, first: int, last: int, plain: str) -> bool:
+    around = text[max(0, first - 2) : first] + " " + text[last : last + 2]
+    return bool(re.search(r"[\"'“”„«»‘’]", around)) and len(plain) <= 6 and plain.strip("\"'“”„«»‘’.,") in text[last : last + 40]
 
 
 def mended(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The texts that a wrong decoding changed: key, restored, chains (how they were garbled), words, lost (characters beyond recovery).
+    """The texts that a wrong decoding changed: key, restored, chains (how they were garbled), words, lost (characters beyond recovery), found_by.
+
+    found_by is 'classifier', 'replacement' for texts of which only U+FFFD tells that characters were lost, or 'both'.
 
     Null, empty and plain ASCII texts are sound. A text is looked at word by word, whole, in its row; the classifier, whose size is
     bounded by WORDS and the number of chains, is sent to every executor.
@@ -283,7 +329,7 @@ def mended(documents: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
             return known[word]
 
         for batch in batches:
-            rows, texts, names, words, losses = [], [], [], [], []
+            rows, texts, names, words, losses, ways = [], [], [], [], [], []
             for row, value in enumerate(batch.column("_text").to_pylist()):
                 found = mend(value, verdict)
                 if found is not None:
@@ -292,8 +338,12 @@ def mended(documents: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
                     names.append([" > ".join(c) for c, _ in found[1].most_common()])
                     words.append(sum(found[1].values()))
                     losses.append(found[2])
-            yield pa.RecordBatch.from_arrays([batch.column("_key").take(pa.array(rows, pa.int64())), pa.array(texts, pa.string()), pa.array(names, pa.list_(pa.string())), pa.array(words, pa.int64()), pa.array(losses, pa.int64())], names=[key, "restored", "chains", "words", "lost"])
+                    ways.append("replacement" if not found[1] else "both" if found[2] else "classifier")
+            kinds = (pa.string(), pa.list_(pa.string()), pa.int64(), pa.int64(), pa.string())
+            columns = [pa.array(c, k) for c, k in zip((texts, names, words, losses, ways), kinds, strict=True)]
+            taken = batch.column("_key").take(pa.array(rows, pa.int64()))
+            yield pa.RecordBatch.from_arrays([taken, *columns], names=[key, "restored", "chains", "words", "lost", "found_by"])
 
     suspects = documents.where(F.col(text).rlike(r"[^\x00-\x7f]")).select(F.col(key).alias("_key"), F.col(text).alias("_text"))
     kind = documents.schema[key].dataType.simpleString()
-    return suspects.mapInArrow(checked, f"`{key}` {kind}, restored string, chains array<string>, words bigint, lost bigint")
+    return suspects.mapInArrow(checked, f"`{key}` {kind}, restored string, chains array<string>, words bigint, lost bigint, found_by string")

@@ -81,3 +81,21 @@ def test_every_chain_likely_enough_is_tried(model, monkeypatch):
     likely[[0, right, *barred]] = [-50, -20, *[-10] * len(barred)]
     monkeypatch.setattr(model, "likelihoods", lambda word: likely if word == spoilt else np.zeros(len(model.chains)))
     assert model.verdict(spoilt)[1] == "größer"
+
+
+def test_parts_of_texts_without_blanks(model):
+    spoilt = garbled.garble("棚の上", ("utf-8", "cp1252"))
+    for text, want in (
+        ("früher—wÃ¤re", "früher—wäre"), ("für/wÃ¤re/größer", "für/wäre/größer"), (f"会議の記録は{spoilt}に置かれている。", "会議の記録は棚の上に置かれている。"),
+        ("„für“,„wÃ¤re“", "„für“,„wäre“"),
+    ):
+        found = garbled.mend(text, model.verdict)
+        assert found is not None and found[0] == want
+    assert garbled.mend("会議の記録は棚の上に置かれている。für/größer—später", model.verdict) is None
+    assert garbled.mend("Wer („Ã¼“) statt („ü“) liest", model.verdict) is None
+
+
+def test_replacement_characters_are_told_apart(spark):
+    sound = [(i, " ".join(random.Random(i).sample(WORDS, 30))) for i in range(80)]
+    df = spark.createDataFrame([*sound, (100, "das Stra�enfest"), (101, "die wÃ¤re"), (102, "die wÃ¤re Stra�e")], "doc_id bigint, text string")
+    assert {r["doc_id"]: r["found_by"] for r in garbled.mended(df).collect()} == {100: "replacement", 101: "classifier", 102: "both"}
