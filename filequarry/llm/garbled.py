@@ -232,29 +232,32 @@ def train(parts: dict[str, int], rounds: int = 2, seen: dict[str, int] | None =
     return model
 
 
+def _among(characters) -> str:
+    return "[" + "".join(re.escape(c) for c in sorted(characters)) + "]"
+
+
+# For each encoding taken: a sequence as the first two bytes of a UTF-8 character give it, and the runs of its alphabet without white space.
+_SEQUENCES = {t: re.compile(_among(f[b] for b in range(0xC2, 0xF5)) + _among(f[b] for b in range(0x80, 0xC0))) for t, (f, _) in _TABLES.items()}
+_RUNS = {t: re.compile(_among(c for c in b if not c.isspace()) + "+") for t, (_, b) in _TABLES.items()}
+
+
 @lru_cache(1 << 16)
 def inner_spans(word: str) -> tuple[tuple[int, int, str | None], ...]:
     """Parts of a word that may have been decoded wrongly by themselves: (start, end, encoding it was taken for or None if any).
 
     First what stands between joining punctuation, then, for text without blanks, the longest runs that one encoding's alphabet can
-    give. Parts of plain ASCII, parts with one character beyond it between other alphabets, and the whole word are left out.
+    give and that hold what a UTF-8 character becomes in it. Parts of plain ASCII and the whole word are left out.
     """
-    parts, start = [], 0
-    for m in [*_JOINT.finditer(word), None]:
-        end = m.start() if m else len(word)
-        parts.append((start, end))
-        start = m.end() if m else end
-    spans: list[tuple[int, int, str | None]] = [(a, b, None) for a, b in parts if b - a < len(word) and not word[a:b].isascii()]
+    spans: list[tuple[int, int, str | None]] = []
+    joints = [m.span() for m in _JOINT.finditer(word)]
+    if any(0 < a and b < len(word) or not word[a:b].isascii() for a, b in joints):
+        edges = [0, *[e for span in joints for e in span], len(word)]
+        spans = [(a, b, None) for a, b in zip(edges[::2], edges[1::2], strict=True) if b > a and not word[a:b].isascii()]
     runs: list[tuple[int, int, str | None]] = []
-    for taken in TAKEN:
-        back, start = _TABLES[taken][1], None
-        for at, c in enumerate([*word, None]):
-            if c is not None and c in back and not c.isspace():
-                start = at if start is None else start
-            elif start is not None:
-                if at - start < len(word) and sum(x > "\x7f" for x in word[start:at]) >= 2:
-                    runs.append((start, at, taken))
-                start = None
+    for taken, sequence in _SEQUENCES.items():
+        if sequence.search(word):
+            found = [m.span() for m in _RUNS[taken].finditer(word)]
+            runs += [(a, b, taken) for a, b in found if b - a < len(word) and sequence.search(word, a, b)]
     return (*spans, *sorted(runs, key=lambda r: (r[0] - r[1], r[0])))
 
 
