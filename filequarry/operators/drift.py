@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from filequarry.session import checkpointed
+from filequarry.session import checkpointed, materialised
 
 
 def json_type(schema: Column) -> Column:
@@ -56,15 +56,16 @@ def _runs(runs: DataFrame) -> DataFrame:
     return runs.select("run_id", "device_id", "run_no").where("run_id is not null and device_id is not null and run_no is not null").dropDuplicates(["run_id"])
 
 
-def changes(records: DataFrame, runs: DataFrame) -> DataFrame:
+def changes(records: DataFrame, runs: DataFrame, stats: DataFrame | None = None) -> DataFrame:
     """Changes of the top-level keys between a device's neighbouring runs: device_id, run_no, change, old_key, new_key.
 
     change is renamed, removed (new_key ''), added (old_key '') or retyped (one key twice). Runs without any record are compared
     like all others, as runs without keys; a device's first run, and one whose predecessor is unknown, gives no change. Where a run
     delivers a path more than once, the values of all its records count. Records of unknown runs and null paths take no part.
+    stats: run_statistics of the records, where they are at hand.
     """
     numbers = _runs(runs)
-    stats = run_statistics(records, runs)
+    stats = run_statistics(records, runs) if stats is None else stats
     pairs = numbers.select("device_id", "run_no").distinct()
     pairs = pairs.join(pairs.select("device_id", (F.col("run_no") + 1).alias("run_no")), ["device_id", "run_no"])
     later = stats.select("device_id", "run_no", "key", F.col("types").alias("new_types"))
@@ -124,16 +125,31 @@ def _renamings(records: DataFrame, numbers: DataFrame, single: DataFrame) -> Dat
 SQL_TYPES = {"integer": "bigint", "decimal": "double", "boolean": "boolean", "string": "string", "array": "string", "object": "string"}
 
 
-def columns_of(records: DataFrame, runs: DataFrame, support: int = 2) -> list[tuple[str, str, list[str]]]:
-    """The consistent columns: (name, Spark type, keys), one for each concept.
+MOST_KEYS = 2_000  # keys that get columns; what rarer ones hold goes to one map
 
-    Keys are one concept if `support` devices or more renamed one to the other; its name is the key with the most cells, its type
-    the most frequent one, where integers beside decimals count as decimals. Only statistics of keys reach the driver: their number
-    is that of the schema's keys, whatever the number of records.
+
+def renamings(changed: DataFrame) -> DataFrame:
+    """old_key, new_key and on how many devices one was renamed to the other, from `changes`."""
+    return changed.where("change = 'renamed'").groupBy("old_key", "new_key").agg(F.countDistinct("device_id").alias("devices"))
+
+
+def columns_of(records: DataFrame, runs: DataFrame, support: int = 2, most: int = MOST_KEYS) -> tuple[list[tuple[str, str, list[str]]], bool]:
+    """The consistent columns, (name, Spark type, keys), one for each concept, and whether there are keys beyond the `most` most frequent.
+
+    Keys are one concept if `support` devices or more renamed one to the other; `renamings` lists those of fewer, whose keys stay
+    apart. A concept's name is the key with the most cells, its type the most frequent one, where integers beside decimals count as
+    decimals. Only statistics of `most` keys reach the driver, whatever the number of records and keys.
     """
-    stats = run_statistics(records, runs)
-    kinds = stats.select("key", F.explode("types").alias("type"), "cells").groupBy("key", "type").agg(F.sum("cells").alias("cells")).collect()
-    links = changes(records, runs).where("change = 'renamed'").groupBy("old_key", "new_key").agg(F.countDistinct("device_id").alias("devices")).where(F.col("devices") >= support).collect()
+    stats = materialised(run_statistics(records, runs))  # a row for each key of a run
+    cells_of = stats.groupBy("key").agg(F.sum("cells").alias("cells"))
+    frequent = [r["key"] for r in cells_of.orderBy(F.desc("cells"), "key").limit(most + 1).collect()]
+    further, frequent = len(frequent) > most, frequent[:most]
+    wanted = records.sparkSession.createDataFrame([(k,) for k in frequent], "key string")
+    kinds = stats.join(F.broadcast(wanted), "key", "left_semi").select("key", F.explode_outer("types").alias("type"), "cells").groupBy("key", "type").agg(F.sum("cells").alias("cells")).collect()
+    links = renamings(changes(records, runs, stats)).where(F.col("devices") >= support)
+    for side in ("old_key", "new_key"):
+        links = links.join(F.broadcast(wanted.withColumnRenamed("key", side)), side, "left_semi")
+    links = links.collect()
     parent: dict[str, str] = {}
 
     def root(k: str) -> str:
@@ -142,9 +158,10 @@ def columns_of(records: DataFrame, runs: DataFrame, support: int = 2) -> list[tu
         return k
 
     cells: dict[str, dict[str, int]] = {}
-    for r in sorted(kinds, key=lambda r: (r["key"], r["type"])):
-        cells.setdefault(r["key"], {})[r["type"]] = r["cells"]
-        root(r["key"])
+    for r in sorted(kinds, key=lambda r: (r["key"], r["type"] or "")):
+        if r["type"] is not None:
+            cells.setdefault(r["key"], {})[r["type"]] = r["cells"]
+            root(r["key"])
     for r in sorted(links, key=lambda r: (r["old_key"], r["new_key"])):
         a, b = sorted((root(r["old_key"]), root(r["new_key"])))
         parent[b] = a
@@ -158,18 +175,19 @@ def columns_of(records: DataFrame, runs: DataFrame, support: int = 2) -> list[tu
         if of["decimal"]:
             of = of | {"decimal": of["decimal"] + of["integer"], "integer": 0}
         columns.append((name, SQL_TYPES[max(of, key=lambda t: of[t])], keys))
-    return sorted(columns)
+    return sorted(columns), further
 
 
-def consistent_table(records: DataFrame, runs: DataFrame, support: int = 2) -> DataFrame:
+def consistent_table(records: DataFrame, runs: DataFrame, support: int = 2, most: int = MOST_KEYS) -> DataFrame:
     """Every record's metadata in the same typed columns: rec_id, run_id, device_id, path, the columns, failed_casts.
 
     Column names have characters other than letters, digits and _ replaced by _, and md_ before them, so that none clashes with
     another column. failed_casts maps a key to the JSON text of a value that its column's type can't hold; the cell is null then.
     Records with null or unreadable metadata stay, with null cells. Where a record has several keys of one concept, the first not
-    null in the order of their names is taken.
+    null in the order of their names is taken. If there are more than `most` keys, the JSON text of the rarer ones' values is in one
+    map more, other_keys.
     """
-    columns = columns_of(records, runs, support)
+    columns, further = columns_of(records, runs, support, most)
     parsed = records.select("rec_id", "run_id", "device_id", "path", F.expr("try_cast(try_parse_json(meta_data) as map<string, variant>)").alias("_doc"))
     names: dict[str, int] = {}
     cells, failed = [], []
@@ -186,4 +204,9 @@ def consistent_table(records: DataFrame, runs: DataFrame, support: int = 2) -> D
             failed += [F.when((F.schema_of_variant(v) != "VOID") & c.isNull(), F.struct(F.lit(k).alias("key"), F.to_json(v).alias("value"))) for k, v, c in zip(keys, values, cast, strict=True)]
         cells.append(F.coalesce(*cast).alias(plain))
     bad = F.map_from_entries(F.array_compact(F.array(*failed))) if failed else F.lit(None).cast("map<string,string>")
-    return parsed.select("rec_id", "run_id", "device_id", "path", *cells, bad.alias("failed_casts"))
+    more = []
+    if further:
+        placed = F.array(*[F.lit(k) for _, _, keys in columns for k in keys]).cast("array<string>")
+        rest = F.map_filter("_doc", lambda k, v: ~F.array_contains(placed, k))
+        more = [F.transform_values(rest, lambda k, v: F.to_json(v)).alias("other_keys")]
+    return parsed.select("rec_id", "run_id", "device_id", "path", *cells, bad.alias("failed_casts"), *more)

@@ -78,3 +78,20 @@ def test_consistent_table(spark):
     assert dict(table.dtypes)[column] == "bigint" and len(table.columns) == 7
     assert [got[i][column] for i in (110, 121, 900, 901)] == [7, 8, None, None]
     assert got[900]["failed_casts"] == {"size": '"many"'} and got[110]["failed_casts"] == {}
+
+
+def test_rare_keys_share_one_column(spark):
+    runs = spark.createDataFrame([(1, 1, 1, "")], RUNS)
+    rows = [(i, 1, 1, f"p{i}", json.dumps({"common": i, f"rare{i}": [i], "often": "x"}), "", "") for i in range(30)] + [(99, 1, 1, "q", None, "", "")]
+    table = drift.consistent_table(spark.createDataFrame(rows, RECORDS), runs, most=2)
+    assert table.columns == ["rec_id", "run_id", "device_id", "path", "md_common", "md_often", "failed_casts", "other_keys"]
+    got = {r["rec_id"]: r for r in table.collect()}
+    assert got[7]["md_common"] == 7 and got[7]["other_keys"] == {"rare7": "[7]"} and got[99]["other_keys"] is None
+    assert "other_keys" not in drift.consistent_table(spark.createDataFrame(rows, RECORDS), runs, most=40).columns
+
+
+def test_renamings_are_counted_by_device(spark):
+    runs = spark.createDataFrame([(d * 10 + n, d, n, "") for d in (1, 2) for n in (1, 2)], RUNS)
+    rows = [(d * 100 + n, d * 10 + n, d, "p", json.dumps({("a" if n == 1 else "b" if d == 1 else "c"): 5}), "", "") for d in (1, 2) for n in (1, 2)]
+    got = drift.renamings(drift.changes(spark.createDataFrame(rows, RECORDS), runs)).collect()
+    assert {tuple(r) for r in got} == {("a", "b", 1), ("a", "c", 1)}
