@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from filequarry.llm import garbled, language, neighbours, packing, split, survivor, tokens
-from filequarry.session import table
+from filequarry.session import checkpointed, table
 
 CAPACITY = 2048
 
@@ -21,6 +21,16 @@ def p1_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return split.archive_pieces(table(spark, folder, "dbdoc"), table(spark, folder, "doc_vectors"), table(spark, folder, "pools"))
 
 
+def p1_joined(spark: SparkSession, folder: str) -> DataFrame:
+    """Each split text put together again from its pieces, overlaps left out, as a hash; and its longest piece."""
+    pieces = p1_pieces(spark, folder).withColumn("end", F.col("start") + F.length("content"))
+    before = F.lag("end", 1, 0).over(Window.partitionBy("item", "item_id").orderBy("piece_no"))
+    new = pieces.withColumn("_new", F.substring("content", (before - F.col("start") + 1).cast("int"), F.length("content")))
+    parts = new.groupBy("item", "item_id").agg(F.array_sort(F.collect_list(F.struct("piece_no", "_new"))).alias("_p"), F.max(F.length("content")).alias("_most"))
+    whole = F.array_join(F.transform("_p", lambda p: p["_new"]), "")
+    return parts.select("item", "item_id", F.md5(whole).alias("text_md5"), F.length(whole).cast("bigint").alias("characters"), (F.col("_most") > 0).alias("split"))
+
+
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return language.mislabelled(table(spark, folder, "dbdoc"), language.fit(table(spark, folder, "documents")))
 
@@ -59,6 +69,19 @@ def p9_containers(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(sizes, ["doc_id"], "tokens", CAPACITY)
 
 
+def p9_summary(spark: SparkSession, folder: str) -> DataFrame:
+    """What holds of the containers: how many are too full, how many texts' parts don't add up or are cut without need, how many texts there are."""
+    documents = table(spark, folder, "documents")
+    sizes = checkpointed(tokens.count_column(documents, ["doc_id"], "text"))
+    placed = checkpointed(packing.pack(sizes, ["doc_id"], "tokens", CAPACITY))
+    full = placed.groupBy("container").agg(F.sum("size").alias("held")).where(F.col("held") > CAPACITY)
+    of = placed.groupBy("doc_id").agg(F.sum("size").alias("held"), F.count("*").alias("parts"))
+    wrong = sizes.join(of, "doc_id", "left").where("held is distinct from tokens or parts > greatest(1, ceil(tokens / 2048))")
+    named = {"texts": sizes, "too_full": full, "wrong": wrong}
+    counts = [rows.agg(F.count("*").alias("n")).select(*[(F.col("n") if c == name else F.lit(0)).cast("bigint").alias(c) for c in named]) for name, rows in named.items()]
+    return counts[0].unionByName(counts[1]).unionByName(counts[2]).agg(*[F.sum(c).alias(c) for c in named])
+
+
 def p10_found(spark: SparkSession, folder: str) -> DataFrame:
     return garbled.mended(table(spark, folder, "documents")).select("doc_id")
 
@@ -67,7 +90,7 @@ def p10_restored(spark: SparkSession, folder: str) -> DataFrame:
     return garbled.mended(table(spark, folder, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_segments, p3_found, p3_neighbours, p7_found, p7_survivors, p8_ids, p9_containers, p10_found, p10_restored)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_pieces, p1_joined, p2_found, p2_segments, p3_found, p3_neighbours, p7_found, p7_survivors, p8_ids, p9_containers, p9_summary, p10_found, p10_restored)}
 
 _BEST = r"""
         WITH RECURSIVE keys AS (
@@ -97,6 +120,12 @@ SQL = {
         UNION ALL
         SELECT 'doc_vectors', v.chunk_id FROM doc_vectors v JOIN dbdoc d ON v.doc_id = d.id JOIN pools p USING (pool) WHERE length(v.content) > p.max_chars
     """,
+    "p1_joined": """
+        SELECT 'dbdoc' AS item, d.id AS item_id, md5(d.inhalt) AS text_md5, length(d.inhalt) AS characters, true AS split FROM dbdoc d JOIN pools p USING (pool) WHERE length(d.inhalt) > p.max_chars
+        UNION ALL
+        SELECT 'doc_vectors', v.chunk_id, md5(v.content), length(v.content), true FROM doc_vectors v JOIN dbdoc d ON v.doc_id = d.id JOIN pools p USING (pool) WHERE length(v.content) > p.max_chars
+    """,
+    "p9_summary": "SELECT count(*) AS texts, 0 AS too_full, 0 AS wrong FROM documents",
     "p3_found": """
         WITH v AS (
             SELECT 'dino_v2_vectors' AS tbl, pic_id AS id, list_transform(vector, lambda x: CAST(x AS DOUBLE)) AS v FROM dino_v2_vectors
