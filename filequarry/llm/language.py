@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +17,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 TEXTS_A_LANGUAGE = 200  # labelled texts from which the classifier is fitted, for each language; all texts are classified
-LETTERS_A_TEXT = 2_500  # of a text used for fitting, as much is used
+LETTERS_A_TEXT = 2_500  # characters of a text used for fitting, in SLICES slices where it is longer
+SLICES = 5
 CENTROIDS = 6  # for each language
 BUCKETS = 1 << 13
 NEAREST = 0.2  # a cosine below this to all centroids is no language
@@ -69,12 +70,29 @@ def stretches(text: str, most: int = STRETCH) -> list[tuple[int, int]]:
     return found
 
 
-def _codes(text: str) -> np.ndarray:
-    """Lower-case code points, everything but letters as one space."""
-    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    lower = np.frombuffer("".join(c if len(c) == 1 else " " for c in map(str.lower, text)).encode("utf-32-le", "surrogatepass"), np.uint32)
-    letter = np.frombuffer(bytes(map(str.isalpha, text)), np.uint8).astype(bool)
-    return np.where(letter, lower if len(lower) == len(codes) else codes, 32).astype(np.int64)
+@lru_cache(1)
+def _alphabet() -> tuple[np.ndarray, np.ndarray]:
+    """For each code point of the first plane: whether it is a letter, and its lower case, a space where that is several characters."""
+    letter, lower = np.zeros(0x10000, bool), np.arange(0x10000, dtype=np.int64)
+    for code in range(0x10000):
+        c = chr(code)
+        if c.isalpha():
+            letter[code] = True
+            lower[code] = ord(c.lower()) if len(c.lower()) == 1 else 32
+    return letter, lower
+
+
+def _codes(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Lower-case code points, everything but letters as one space; and the letters' own code points, 0 for what is none."""
+    raw = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    letters, lowers = _alphabet()
+    near = np.minimum(raw, 0xFFFF)
+    letter, lower = letters[near], lowers[near]
+    far = np.flatnonzero(raw > 0xFFFF)
+    if len(far):
+        letter[far] = [chr(c).isalpha() for c in raw[far]]
+        lower[far] = [ord(low) if len(low := chr(c).lower()) == 1 else 32 for c in raw[far]]
+    return np.where(letter, lower, 32), np.where(letter, raw, 0)
 
 
 def grams(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -105,8 +123,8 @@ class Centroids:
         owners, buckets, of = [], [], []
         for k, language in enumerate(self.languages):
             for text in samples[language]:
-                for a, b in stretches(text[:LETTERS_A_TEXT]):
-                    found, _ = grams(_codes(text[a:b]))
+                for a, b in stretches(text):
+                    found, _ = grams(_codes(text[a:b])[0])
                     if len(found) >= 60:
                         buckets.append(found)
                         owners.append(np.full(len(found), len(of)))
@@ -130,11 +148,11 @@ class Centroids:
                 names.append(k)
         self.centroids, self.of = np.stack(centroids, axis=1).astype(np.float32), np.array(names)
 
-    def similarities(self, text: str, parts: list[tuple[int, int]]) -> np.ndarray:
-        """The cosine of each part to the nearest centroid of each language."""
+    def similarities(self, text: str, parts: list[tuple[int, int]], codes: np.ndarray | None = None) -> np.ndarray:
+        """The cosine of each part to the nearest centroid of each language. codes: the text's, where they are at hand."""
         if not parts or not len(self.of):
             return np.zeros((len(parts), len(self.languages)))
-        codes = _codes(text)
+        codes = _codes(text)[0] if codes is None else codes
         owner_at = np.full(len(codes), -1)
         for k, (a, b) in enumerate(parts):
             owner_at[a:b] = k
@@ -172,10 +190,12 @@ def _clusters(mine: np.ndarray, starts: np.ndarray, columns: np.ndarray, values:
     return list(centres / np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-12))
 
 
-def _monotonous(part: str) -> bool:
+def _monotonous(letters: np.ndarray) -> bool:
     """Whether one letter makes up half of a stretch of some length, which no language does."""
-    letters = [c for c in part if c.isalpha()]
-    return len(letters) >= 20 and 2 * Counter(letters).most_common(1)[0][1] >= len(letters)
+    if len(letters) < 20:
+        return False
+    middle = np.sort(letters)[[(len(letters) - 1) // 2, len(letters) // 2]]  # such a letter is one of these
+    return 2 * max((letters == middle[0]).sum(), (letters == middle[1]).sum()) >= len(letters)
 
 
 def segments(model: Centroids, text: str | None) -> list[tuple[int, int, str, float, int]]:
@@ -188,11 +208,16 @@ def segments(model: Centroids, text: str | None) -> list[tuple[int, int, str, fl
     if not text:
         return []
     parts = stretches(text)
-    near = model.similarities(text, parts)
+    codes, own_letters = _codes(text)
+    near = model.similarities(text, parts, codes)
     if not near.size:
         return []
-    near[[_monotonous(text[a:b]) for a, b in parts]] = 0
-    letters = np.array([sum(map(str.isalpha, text[a:b])) for a, b in parts])
+    seen = np.concatenate(([0], np.cumsum(own_letters > 0)))
+    only = own_letters[own_letters > 0]
+    bounds = np.array(parts)
+    first, last = seen[bounds[:, 0]], seen[bounds[:, 1]]
+    near[[_monotonous(only[a:b]) for a, b in zip(first, last, strict=True)]] = 0
+    letters = last - first
     languages = near.shape[1]
     gain = letters[:, None] * np.concatenate([near, np.full((len(parts), 1), NEAREST)], axis=1)  # the last state is no language
     best, back = gain[0], []
@@ -222,13 +247,22 @@ def segments(model: Centroids, text: str | None) -> list[tuple[int, int, str, fl
 
 
 def fit(labelled: DataFrame, text: str = "text", label: str = "lang") -> Centroids:
-    """A classifier from at most TEXTS_A_LANGUAGE labelled texts of each language, drawn by hash among those with 200 characters or more."""
-    rows = labelled.where(F.col(label).isin(*SPELLINGS) & (F.length(text) >= 200)).select(F.col(label).alias("_lang"), F.col(text).alias("_text"))
-    # One pass: the rank's bound keeps TEXTS_A_LANGUAGE rows of a language in each task before anything is shuffled.
-    rank = F.row_number().over(Window.partitionBy("_lang").orderBy("_hash", "_text"))
-    drawn = rows.select("_lang", F.left("_text", F.lit(LETTERS_A_TEXT)).alias("_text"), F.xxhash64("_text").alias("_hash"))
+    """A classifier from at most TEXTS_A_LANGUAGE distinct labelled texts of each language, drawn by hash among those with 200 characters or more.
+
+    Of a text of more than LETTERS_A_TEXT characters, SLICES slices are used that are spread evenly over it.
+    """
+    rows = labelled.where(F.col(label).isin(*SPELLINGS) & (F.length(text) >= 200)).select(F.col(label).alias("_lang"), F.col(text).alias("_text"), F.xxhash64(text).alias("_hash"))
+    # Copies are drawn as one: their hashes are combined before they are shuffled, and the rank's bound keeps as many as are drawn in each task.
+    rank = F.row_number().over(Window.partitionBy("_lang").orderBy("_hash"))
+    drawn = rows.select("_lang", "_hash").distinct().withColumn("_n", rank).where(F.col("_n") <= TEXTS_A_LANGUAGE).drop("_n")
+    each = LETTERS_A_TEXT // SLICES
+    length = F.length("_text")
+    spread = [F.substring("_text", (F.lit(1) + F.floor((length - each) * i / (SLICES - 1))).cast("int"), F.lit(each)) for i in range(SLICES)]
+    used = F.when(length <= LETTERS_A_TEXT, F.col("_text")).otherwise(F.concat_ws("\n", *spread))
+    # A hash and a part of a text for each drawn one, TEXTS_A_LANGUAGE a language at most, are sent to the executors and reach the driver.
+    found = rows.join(F.broadcast(drawn), ["_lang", "_hash"]).groupBy("_lang", "_hash").agg(F.min(used).alias("_text"))
     samples: dict[str, list[str]] = {}
-    for r in drawn.withColumn("_n", rank).where(F.col("_n") <= TEXTS_A_LANGUAGE).select("_lang", "_text").collect():
+    for r in found.collect():
         samples.setdefault(r["_lang"], []).append(r["_text"])
     for texts in samples.values():
         texts.sort()

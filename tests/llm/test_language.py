@@ -55,3 +55,18 @@ def test_fit(spark):
     assert set(fitted.languages) == {"de", "en", "fr"} | ({"ja"} if len(" ".join(SENTENCES["ja"]) * 2) >= 200 else set())
     assert fitted.similarities(" ".join(SENTENCES["fr"]), [(0, 70)])[0].argmax() == fitted.languages.index("fr")
     assert language.fit(spark.createDataFrame([], "lang string, text string")).languages == []
+
+
+def test_copies_are_drawn_once_and_long_texts_all_over(spark, monkeypatch):
+    seen = {}
+    monkeypatch.setattr(language, "Centroids", lambda samples: seen.update(samples))
+    rows = [("de", "kopie " * 50)] * 300 + [("de", f"text {i} " * 40) for i in range(50)] + [("en", "a" * 9_000 + "z" * 9_000)]
+    language.fit(spark.createDataFrame(rows, "lang string, text string").repartition(4))
+    assert len(seen["de"]) == 51 and len(set(seen["de"])) == 51
+    assert seen["en"][0].count("a") == 1_250 - 250 + 250 and seen["en"][0].count("z") == 1_250 and len(seen["en"][0]) == 2_504
+
+
+def test_confidence_of_held_out_stretches(model):
+    """Texts that are near their own language alone have a confidence near 1, one between two languages near a half."""
+    sure = language.segments(model, " ".join(SENTENCES["fr"]))
+    assert sure[0][2] == "fr" and sure[0][3] > 0.9
