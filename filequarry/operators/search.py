@@ -5,12 +5,16 @@ from __future__ import annotations
 import re
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from filequarry.functions import text as words
 from filequarry.functions import vectors
 from filequarry.functions.stemming import stem
+from filequarry.session import ship_package
 
 # What a hit of each kind scores.
 TITLE, PARTIAL_TITLE, TERM, PARTIAL_TERM = 15, 7, 5, 2
@@ -19,10 +23,30 @@ PRIORITY = {0: 15, 1: 5, 2: -5}
 
 
 def cosine_scores(rows: DataFrame, key: str, vector: str, query: list[float]) -> DataFrame:
-    """key and sim of every row with one query vector, which is a constant of the plan, its norm worked out once."""
-    constant = F.array(*[F.lit(float(x)) for x in query])
-    length = float(sum(float(x) ** 2 for x in query)) ** 0.5
-    return rows.select(key, vectors.cosine(F.col(vector), constant, F.lit(length)).alias("sim"))
+    """key and sim of every row with one query vector, as `vectors.cosine` has it: 0 for zero vectors, null for null ones and other lengths.
+
+    Spark has no built-in product of arrays that is compiled, so vectors go through numpy in Arrow batches, a product a batch. The
+    query, of one vector's size, goes with the code.
+    """
+    ship_package(rows.sparkSession)
+    wanted = np.asarray([float(x) for x in query])
+    length = max(float(np.linalg.norm(wanted)), vectors.LEAST_NORM)
+
+    def scored(batches):
+        for batch in batches:
+            column = batch.column("_vector")
+            right = np.flatnonzero(np.asarray(pc.fill_null(pc.list_value_length(column), -1)) == len(wanted))
+            flat = pc.list_flatten(column.take(pa.array(right)))
+            whole = np.asarray(pc.is_valid(flat).to_numpy(zero_copy_only=False)).reshape(len(right), len(wanted)).all(1)
+            matrix = np.asarray(pc.fill_null(flat, 0.0)).astype(np.float64).reshape(len(right), len(wanted))
+            sims = np.full(batch.num_rows, np.nan)
+            sims[right] = matrix @ wanted / (np.maximum(np.linalg.norm(matrix, axis=1), vectors.LEAST_NORM) * length)
+            missing = np.ones(batch.num_rows, bool)
+            missing[right[whole]] = False
+            yield pa.RecordBatch.from_arrays([batch.column("_key"), pa.array(sims, pa.float64(), mask=missing)], names=[key, "sim"])
+
+    chosen = rows.select(F.col(key).alias("_key"), F.col(vector).alias("_vector"))
+    return chosen.mapInArrow(scored, f"`{key}` {chosen.schema['_key'].dataType.simpleString()}, sim double")
 
 
 def cosine_topk(rows: DataFrame, key: str, vector: str, query: list[float], k: int = 10, without: int | None = None) -> DataFrame:
