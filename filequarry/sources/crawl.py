@@ -5,11 +5,14 @@ from __future__ import annotations
 import os
 from collections.abc import Iterable, Iterator
 from datetime import datetime
+from itertools import chain
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from filequarry.session import checkpointed, ship_package
+
 SCHEMA = "path string, modificationTime timestamp_ntz, length bigint, sha256 binary, content binary, error string"
 
 
@@ -18,17 +21,20 @@ LARGEST = 2_000_000_000  # bytes that a binary value of Spark can hold
 TOO_LARGE = "too large"
 
 
-class _Folder(InputPartition):
-    def __init__(self, files: list[str]):
-        self.files = files
+LISTED = "path string, modificationTime timestamp_ntz, length bigint, error string"
+SUBTREES = 256  # subtrees that the driver looks for before tasks list them
+
+
+class _Subtrees(InputPartition):
+    def __init__(self, flat: list[str], deep: list[str]):
+        self.flat, self.deep = flat, deep
 
 
 class TreeSource(DataSource):
-    """All files below a folder that every executor sees, hidden ones and those that begin with _ among them.
+    """Paths, dates and sizes of all files below a folder that every executor sees, hidden ones and those that begin with _ among them.
 
-    Options: path; pattern (a glob for names); files (how many make a partition, 256); content (true: bytes of files up to maxbytes,
-    64 MB; false: none); whole (suffixes, separated by commas, of files whose bytes are kept up to LARGEST). Hashes are taken in blocks,
-    so files of any size can be read. An unreadable file is a row with error set, one whose bytes are not kept has error 'too large'.
+    Options: path; pattern (a glob for names). The driver lists the first levels only, until it has SUBTREES folders; each of these is
+    walked by a task. A file or folder that can't be looked at is a row with error set. Links to folders are not followed.
     """
 
     @classmethod
@@ -36,7 +42,7 @@ class TreeSource(DataSource):
         return "filetree"
 
     def schema(self) -> str:
-        return SCHEMA
+        return LISTED
 
     def reader(self, schema) -> DataSourceReader:
         return _TreeReader(dict(self.options))
@@ -45,63 +51,92 @@ class TreeSource(DataSource):
 class _TreeReader(DataSourceReader):
     def __init__(self, options: dict):
         self.root, self.pattern = options["path"], options.get("pattern", "*")
-        self.each, self.content, self.most = int(options.get("files", 256)), options.get("content", "true").lower() == "true", int(options.get("maxbytes", MOST))
-        self.whole = tuple(s for s in options.get("whole", "").lower().split(",") if s)
-
-    def _kept(self, file: str, size: int) -> bool:
-        return self.content and size <= (LARGEST if self.whole and file.lower().endswith(self.whole) else min(self.most, LARGEST))
 
     def partitions(self) -> list[InputPartition]:
+        flat, deep = [], [self.root]
+        while deep and len(deep) < SUBTREES:
+            below = []
+            for folder in deep:
+                try:
+                    with os.scandir(folder) as entries:
+                        below += sorted(e.path for e in entries if e.is_dir(follow_symlinks=False))
+                except OSError:
+                    pass  # the task that lists its files tells of it
+            flat, deep = [*flat, *deep], below
+        # What one level has in plenty goes to a bounded number of tasks; folders next to each other are often alike, so they are dealt.
+        return [_Subtrees(flat[n::64], []) for n in range(min(64, len(flat)))] + [_Subtrees([], deep[n :: 4 * SUBTREES]) for n in range(min(4 * SUBTREES, len(deep)))]
+
+    def read(self, partition: _Subtrees) -> Iterator[tuple]:
         from fnmatch import fnmatch
 
-        parts, now, held = [], [], 0
-        for folder, below, names in os.walk(self.root):
-            below.sort()
-            for name in sorted(names):
+        refused: list[OSError] = []
+        flat = ((f, next(os.walk(f, onerror=refused.append), (f, [], []))[2]) for f in partition.flat)
+        deep = ((f, names) for top in partition.deep for f, _, names in os.walk(top, onerror=refused.append))
+        for folder, names in chain(flat, deep):
+            for name in names:
                 if fnmatch(name, self.pattern):
                     file = os.path.join(folder, name)
                     try:
-                        size = os.stat(file).st_size
-                    except OSError:
-                        size = 0
-                    more = size if self._kept(file, size) else 0
-                    if len(now) == self.each or (now and more > MOST):  # a large file begins a partition
-                        parts.append(_Folder(now))
-                        now, held = [], 0
-                    now.append(file)
-                    held += more
-                    if held > MOST:
-                        parts.append(_Folder(now))
-                        now, held = [], 0
-        return [*parts, *([_Folder(now)] if now or not parts else [])]
-
-    def read(self, partition: _Folder) -> Iterator[tuple]:
+                        stat = os.stat(file)
+                        yield file, datetime.fromtimestamp(stat.st_mtime), stat.st_size, None
+                    except OSError as e:
+                        yield file, None, None, f"{type(e).__name__}: {e.strerror}"
+        for e in refused:
+            yield e.filename, None, None, f"{type(e).__name__}: {e.strerror}"
+
+
+def _read(listed: DataFrame, content: bool, maxbytes: int, whole: tuple[str, ...]) -> DataFrame:
+    """listed with the files' hashes and, where they are kept, their bytes. Hashes are taken in blocks, one file at a time."""
+
+    def run(batches):
         import hashlib
 
-        for file in partition.files:
-            changed = size = None
-            try:
-                stat = os.stat(file)
-                changed, size = datetime.fromtimestamp(stat.st_mtime), stat.st_size
-                digest, kept = hashlib.sha256(), []
-                keep = self._kept(file, size)
-                with open(file, "rb") as f:
-                    while block := f.read(1 << 20):
-                        digest.update(block)
-                        if keep:
-                            kept.append(block)
-                yield file, changed, size, digest.digest(), b"".join(kept) if keep else None, TOO_LARGE if self.content and not keep else None
-            except OSError as e:  # what is known of the file without reading it stays
-                yield file, changed, size, None, None, f"{type(e).__name__}: {e.strerror}"
-
-
-def crawl(spark: SparkSession, root: str, pattern: str = "*", content: bool = True, hidden: bool = True, maxbytes: int = MOST, whole: Iterable[str] = ()) -> DataFrame:
-    """The files below root whose names fit a glob. hidden=False uses Spark's own reader, which reads any file system but leaves out
-    names that begin with . or _, and prunes content and filters on length in the scan; maxbytes and whole are TreeSource's, it has no use for them.
+        import pyarrow as pa
+
+        for batch in batches:
+            for row in range(batch.num_rows):
+                file, size, error = (batch.column(c)[row].as_py() for c in ("path", "length", "error"))
+                digest = data = None
+                if error is None:
+                    most = LARGEST if whole and file.lower().endswith(whole) else min(maxbytes, LARGEST)
+                    keep = content and size <= most
+                    try:
+                        hashed, blocks = hashlib.sha256(), []
+                        with open(file, "rb") as f:
+                            while block := f.read(1 << 20):
+                                hashed.update(block)
+                                if keep:
+                                    blocks.append(block)
+                        digest, data = hashed.digest(), b"".join(blocks) if keep else None
+                        error = TOO_LARGE if content and not keep else None
+                    except OSError as e:  # what is known of the file without reading it stays
+                        error = f"{type(e).__name__}: {e.strerror}"
+                told = [batch.column(c).slice(row, 1) for c in ("path", "modificationTime", "length")]
+                yield pa.RecordBatch.from_arrays([*told, pa.array([digest], pa.binary()), pa.array([data], pa.binary()), pa.array([error], pa.string())], names=SCHEMA_NAMES)
+
+    return listed.mapInArrow(run, SCHEMA)
+
+
+SCHEMA_NAMES = [c.split()[0] for c in SCHEMA.split(", ")]
+
+
+def crawl(spark: SparkSession, root: str, pattern: str = "*", content: bool = True, hidden: bool = True, maxbytes: int = MOST, whole: Iterable[str] = (), each: int = 256) -> DataFrame:
+    """The files below root whose names fit a glob, with hash and (content) bytes. Of a file over maxbytes (64 MB) there are none and error is
+    'too large'; files with a suffix in `whole` are kept up to LARGEST. A file that can't be read stays, with error set.
+
+    Tasks list the tree; the list, without contents, is written to the shared folder, and its files are then dealt to tasks of about
+    `each` files or MOST bytes, wherever in the tree they are. hidden=False uses Spark's own reader, which reads any file system but
+    leaves out names that begin with . or _, and prunes content and filters on length in the scan; it has no use for maxbytes and whole.
     """
     if hidden:
+        ship_package(spark)
         spark.dataSource.register(TreeSource)
-        return spark.read.format("filetree").option("path", root).option("pattern", pattern).option("content", str(content).lower()).option("maxbytes", maxbytes).option("whole", ",".join(whole)).load()
+        suffixes = tuple(s.lower() for s in whole)
+        listed = checkpointed(spark.read.format("filetree").option("path", root).option("pattern", pattern).load())
+        files, size = listed.agg(F.count("*"), F.sum(F.least("length", F.lit(MOST)))).first()
+        parts = max(1, -(-files // each), -(-(size or 0) // MOST))
+        return _read(listed.repartition(parts, F.xxhash64("path")), content, maxbytes, suffixes)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root)
-    plain = files.select(F.regexp_replace("path", r"^file:/+", "/").alias("path"), F.col("modificationTime").cast("timestamp_ntz").alias("modificationTime"), "length", F.unhex(F.sha2("content", 256)).alias("sha256"), "content", F.lit(None).cast("string").alias("error"))
+    modified = F.col("modificationTime").cast("timestamp_ntz").alias("modificationTime")
+    plain = files.select(F.regexp_replace("path", r"^file:/+", "/").alias("path"), modified, "length", F.unhex(F.sha2("content", 256)).alias("sha256"), "content", F.lit(None).cast("string").alias("error"))
     return plain if content else plain.drop("sha256", "content")

@@ -65,6 +65,24 @@ def test_crawl_and_records(spark, tree):
     assert ingest.filemeta_records(spark, str(tree), "pool", "*.none").count() == 0
 
 
+def test_a_wide_and_deep_tree_is_listed_by_tasks(spark, tmp_path, monkeypatch):
+    import os
+
+    monkeypatch.setattr(crawl, "SUBTREES", 4)
+    for a in range(6):
+        for b in range(3):
+            folder = tmp_path / f"d{a}" / f"e{b}" / ".deep"
+            folder.mkdir(parents=True)
+            (folder / f"{a}{b}.txt").write_text(f"{a}{b}")
+    (tmp_path / "top.txt").write_text("top")
+    (tmp_path / "loop").symlink_to(tmp_path)
+    got = crawl.crawl(spark, str(tmp_path), each=5)
+    assert got.rdd.getNumPartitions() >= 4 and got.count() == 19
+    rows = {os.path.basename(r["path"]): bytes(r["content"]).decode() for r in got.collect()}
+    assert rows["top.txt"] == "top" and rows["52.txt"] == "52"
+    assert crawl.crawl(spark, str(tmp_path / "none")).where("error is null").count() == 0
+
+
 def test_large_files(spark, tmp_path):
     (tmp_path / "large.txt").write_bytes(b"x" * ((1 << 26) + 1))
     (tmp_path / "b.bin").write_bytes(b"12345")
