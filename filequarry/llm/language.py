@@ -190,12 +190,33 @@ def _clusters(mine: np.ndarray, starts: np.ndarray, columns: np.ndarray, values:
     return list(centres / np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-12))
 
 
-def _monotonous(letters: np.ndarray) -> bool:
-    """Whether one letter makes up half of a stretch of some length, which no language does."""
-    if len(letters) < 20:
-        return False
-    middle = np.sort(letters)[[(len(letters) - 1) // 2, len(letters) // 2]]  # such a letter is one of these
-    return 2 * max((letters == middle[0]).sum(), (letters == middle[1]).sum()) >= len(letters)
+def _monotonous(letters: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Which stretches, from first to last of a text's letters each, have 20 or more and are half of them one letter, as no language is."""
+    many = last - first
+    owner = np.repeat(np.arange(len(many)), many)
+    keys, counts = np.unique(owner << 21 | letters[np.arange(len(owner)) + np.repeat(first - (np.cumsum(many) - many), many)], return_counts=True)
+    most = np.zeros(len(many), np.int64)
+    np.maximum.at(most, keys >> 21, counts)
+    return (many >= 20) & (2 * most >= many)
+
+
+def _sequence(gain: np.ndarray) -> list[int]:
+    """The state of each stretch in the sequence that gains most, where each change of state costs SWITCH."""
+    top = gain.argmax(1)[gain.any(1)]
+    if len(top) and (top == top[0]).all():  # one state is best everywhere
+        return [int(top[0])] * len(gain)
+    best, back = gain[0], []
+    for g in gain[1:]:
+        at = int(best.argmax())
+        stay = best >= best[at] - SWITCH
+        back.append(np.where(stay, np.arange(len(g)), at))
+        best = np.where(stay, best, best[at] - SWITCH) + g
+    state = int(best.argmax())
+    states = [state]
+    for b in reversed(back):
+        state = int(b[state])
+        states.append(state)
+    return states[::-1]
 
 
 def segments(model: Centroids, text: str | None) -> list[tuple[int, int, str, float, int]]:
@@ -216,22 +237,10 @@ def segments(model: Centroids, text: str | None) -> list[tuple[int, int, str, fl
     only = own_letters[own_letters > 0]
     bounds = np.array(parts)
     first, last = seen[bounds[:, 0]], seen[bounds[:, 1]]
-    near[[_monotonous(only[a:b]) for a, b in zip(first, last, strict=True)]] = 0
+    near[_monotonous(only, first, last)] = 0
     letters = last - first
     languages = near.shape[1]
-    gain = letters[:, None] * np.concatenate([near, np.full((len(parts), 1), NEAREST)], axis=1)  # the last state is no language
-    best, back = gain[0], []
-    for g in gain[1:]:
-        top = int(best.argmax())
-        stay = best >= best[top] - SWITCH
-        back.append(np.where(stay, np.arange(languages + 1), top))
-        best = np.where(stay, best, best[top] - SWITCH) + g
-    state = int(best.argmax())
-    states = [state]
-    for b in reversed(back):
-        state = int(b[state])
-        states.append(state)
-    states.reverse()
+    states = _sequence(letters[:, None] * np.concatenate([near, np.full((len(parts), 1), NEAREST)], axis=1))  # the last state is no language
     found: list[tuple[int, int, str, float, int]] = []
     start = 0
     for k in range(1, len(parts) + 1):
