@@ -20,14 +20,18 @@ from filequarry.session import ship_package
 TITLE, PARTIAL_TITLE, TERM, PARTIAL_TERM = 15, 7, 5, 2
 OBJECT, PARTIAL_OBJECT = 11, 6
 PRIORITY = {0: 15, 1: 5, 2: -5}
+SHORT = 128  # entries of a vector
 
 
 def cosine_scores(rows: DataFrame, key: str, vector: str, query: list[float]) -> DataFrame:
     """key and sim of every row with one query vector, as `vectors.cosine` has it: 0 for zero vectors, null for null ones and other lengths.
 
-    Spark has no built-in product of arrays that is compiled, so vectors go through numpy in Arrow batches, a product a batch. The
-    query, of one vector's size, goes with the code.
+    Spark has no built-in product of arrays that is compiled, so vectors longer than SHORT go through numpy in Arrow batches, a product
+    a batch; for short ones the way there costs more than it saves. The query, of one vector's size, goes with the code or the plan.
     """
+    if len(query) <= SHORT:
+        constant = F.array(*[F.lit(float(x)) for x in query])
+        return rows.select(key, vectors.cosine(F.col(vector), constant, F.lit(float(np.linalg.norm(query)))).alias("sim"))
     ship_package(rows.sparkSession)
     wanted = np.asarray([float(x) for x in query])
     length = max(float(np.linalg.norm(wanted)), vectors.LEAST_NORM)

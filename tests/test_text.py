@@ -65,3 +65,10 @@ def test_vectors(spark):
     from filequarry.functions.vectors import hash_bits
 
     assert [tuple(r) for r in search.hamming_topk(bits, "id", hash_bits(F.col("h")), 0).collect()] == [(1, 0), (3, 2), (2, 64)]
+
+
+def test_long_vectors(spark):
+    rows = [(1, [1.0, 0.0] * 100), (2, [2.0, 0.0] * 100), (3, [-1.0, 0.0] * 100), (5, [0.0] * 200), (6, None), (7, [1.0]), (8, [None] * 200)]
+    df = spark.createDataFrame(rows, "id bigint, v array<float>")
+    scores = {r["id"]: r["sim"] for r in search.cosine_scores(df, "id", "v", rows[0][1]).collect()}
+    assert {k: None if v is None else round(v, 9) for k, v in scores.items()} == {1: 1.0, 2: 1.0, 3: -1.0, 5: 0.0, 6: None, 7: None, 8: None}
