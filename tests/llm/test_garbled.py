@@ -99,3 +99,9 @@ def test_replacement_characters_are_told_apart(spark):
     sound = [(i, " ".join(random.Random(i).sample(WORDS, 30))) for i in range(80)]
     df = spark.createDataFrame([*sound, (100, "das Stra�enfest"), (101, "die wÃ¤re"), (102, "die wÃ¤re Stra�e")], "doc_id bigint, text string")
     assert {r["doc_id"]: r["found_by"] for r in garbled.mended(df).collect()} == {100: "replacement", 101: "classifier", 102: "both"}
+
+
+def test_words_are_garbled_alike_alone_and_together():
+    words = [*WORDS, "€", "ключ", "a\u0301", "棚"]
+    for chain in garbled.chains():
+        assert garbled.garble_all(words, chain) == [garbled.garble(w, chain) for w in words]
