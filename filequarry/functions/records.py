@@ -11,8 +11,8 @@ NO_CREATION = "1990-01-01 00:00:00"
 NO_TYPE = "unk/unk"
 
 
-def relative_path(file: Column, root: str, everywhere: bool = False) -> Column:
-    """file below root, without it; a file elsewhere with .. for each folder to leave, if both are absolute, else as it is.
+def relative_path(file: Column, root: str, everywhere: bool = False, above: bool = False) -> Column:
+    """file below root, without it; a file elsewhere as it is, or (above) with .. for each folder to leave, if both are absolute.
 
     everywhere: root's text is taken out wherever it stands, as older records have it.
     """
@@ -20,7 +20,7 @@ def relative_path(file: Column, root: str, everywhere: bool = False) -> Column:
         return F.replace(file, F.lit(root), F.lit(""))
     root = root.rstrip("/") + "/"
     below = F.substring(file, F.lit(len(root) + 1), F.length(file))
-    if not root.startswith("/"):
+    if not above or not root.startswith("/"):
         return F.when(F.startswith(file, F.lit(root)), below).otherwise(file)
     folders = [f for f in root.split("/") if f not in ("", ".")]
     steps = F.filter(F.split(file, "/"), lambda s: ~s.isin("", "."))

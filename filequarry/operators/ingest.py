@@ -26,8 +26,8 @@ def read_files(spark: SparkSession, root: str, pattern: str = "*", hidden: bool
     return extract.extracted(files.withColumn("suffix", records.suffix(F.col("path"))))
 
 
-def _common(files: DataFrame, root: str, pool: str) -> list:
-    path = records.relative_path(F.col("path"), root)
+def _common(files: DataFrame, root: str, pool: str, above: bool = False) -> list:
+    path = records.relative_path(F.col("path"), root, above=above)
     meta = F.col("meta_data")
     return [
         F.lit(pool).alias("pool"), path.alias("path"), records.basename(path).alias("fname"), records.suffix(path).alias("suffix"), F.col("modificationTime").alias("fdate"),
@@ -43,7 +43,7 @@ def filemeta_of(files: DataFrame, root: str, pool: str) -> DataFrame:
 def dbdoc_of(files: DataFrame, root: str, pool: str, config: Config | None = None) -> DataFrame:
     """A document record for each document file: the columns of dbdoc without id and lexemes, and error. inhalt is never null."""
     files = files.where(records.ftype(F.col("suffix"), config) == "doc")
-    return files.select(*_common(files, root, pool), records.sort_date_of_document(F.col("meta_data")).alias("sort_date"), F.lit(None).cast("binary").alias("sha256"), F.coalesce("page_content", F.lit("")).alias("inhalt"), "error")
+    return files.select(*_common(files, root, pool, above=True), records.sort_date_of_document(F.col("meta_data")).alias("sort_date"), F.lit(None).cast("binary").alias("sha256"), F.coalesce("page_content", F.lit("")).alias("inhalt"), "error")
 
 
 def filemeta_records(spark: SparkSession, root: str, pool: str, pattern: str = "*", hidden: bool = True, maxbytes: int = MOST) -> DataFrame:

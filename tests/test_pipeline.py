@@ -65,6 +65,6 @@ def test_null_lexemes_never_mean_no_hit(spark):
 
 def test_paths_outside_the_root(spark):
     files = ["/r/a/b.txt", "/r/c/d", "/x/y", "/r/a", "/r/ab/c", "rel/x", "/r//c/./d"]
-    got = [r[0] for r in spark.createDataFrame([(f,) for f in files], "f string").select(relative_path(F.col("f"), "/r/a/")).collect()]
+    got = [r[0] for r in spark.createDataFrame([(f,) for f in files], "f string").select(relative_path(F.col("f"), "/r/a/", above=True)).collect()]
     assert got == ["b.txt", *[os.path.relpath(f, "/r/a") for f in files[1:3]], "", os.path.relpath("/r/ab/c", "/r/a"), "rel/x", "../c/d"]
-    assert spark.createDataFrame([("/x",), (None,)], "f string").select(relative_path(F.col("f"), "/")).collect()[0][0] == "x"
+    assert spark.createDataFrame([("/x",), (None,)], "f string").select(relative_path(F.col("f"), "/", above=True)).collect()[0][0] == "x"
